@@ -34,6 +34,8 @@ from clausewright.session import cut, require
 RADIUS, PIVOTS = 14, 48
 TABLES, KEY_BITS = 32, 20
 BLOCK = 1 << 20
+#: Dropped ids are broadcast to the texts up to this number (8 MB of longs); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 FINGERPRINT = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "f0", "f1")])
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("distance", T.IntegerType())])
 
@@ -220,7 +222,9 @@ def groups(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id stays; one row of those that repeat an id with words in its text."""
     decided = cut(groups(docs), "groups")
-    gone = decided.where("NOT keep").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = cut(decided.where("NOT keep").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     repeated = decided.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again")
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     if repeated.isEmpty():

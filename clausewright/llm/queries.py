@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewright.llm import op1_quality, op6_neardup
+from clausewright.llm import op1_quality, op6_neardup, op7_packing, op8_sharding, op9_pii, op10_mixing
 from clausewright.session import table
 
 
@@ -18,9 +18,29 @@ def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op9_pii_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_pii.find(table(spark, sf_dir, "documents"))
+
+
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op6_simhash_neardup": op6_simhash_neardup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_sharding_groups": op8_sharding_groups,
+    "op9_pii_identifiers": op9_pii_identifiers,
+    "op10_temperature_mixing": op10_temperature_mixing,
 }
 
 ORACLE: dict[str, str] = {}
