@@ -1,0 +1,187 @@
+"""Licence scan: a trained paragraph classifier whose predictions a template comparison confirms.
+
+Paragraphs (lines that aren't blank) are read in windows of ``WINDOW`` words, ``STRIDE`` apart, so that a notice inside a long
+paragraph is not diluted. A multinomial logistic regression on hashed word 1-, 2- and 3-grams gives each window a licence family or
+the unknown class; its probabilities are calibrated by a temperature fitted on held-out samples. A window of a family with
+probability ``MIN_PROBABILITY`` or more is a prediction; it is confirmed if it holds ``MIN_SIMILARITY`` or more of the word
+3-grams of a template of that family. Neighbouring predicted windows of one family in one paragraph are one row.
+
+The samples are made of the templates below (own wording of short notices) with words dropped, exchanged and added around
+them; the unknown class of invented prose, shuffled templates and sentences that only mention licences.
+
+Defined results
+* null, empty or blank text: no rows; null ``doc_id``: scanned like any other; repeated rows: each reports its paragraphs;
+* ties between families: the first by name; extra columns are ignored; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from clausewright.llm import linear, textvec
+from clausewright.session import require
+
+DIMS = 1 << 16
+WINDOW, STRIDE = 32, 16
+SCALE, SMOOTH = 20.0, 8.0
+MIN_PROBABILITY, MIN_SIMILARITY = 0.5, 0.6
+UNKNOWN = "unknown"
+TEMPLATES: dict[str, list[str]] = {
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "This file is licensed under the Apache License, version 2.0; you may not use it except in compliance with that License.", "Released under the Apache License 2.0.", "Distributed under the Apache Software License, Version 2.0."],
+    "bsd-3-clause": ["Licensed under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license.", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD license.", "Released under the three clause BSD License."],
+    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Content is available under Creative Commons BY-NC 4.0.", "Text licensed under CC BY-NC 4.0, noncommercial use only."],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU General Public License version 3 or later.", "Licensed under the GPL version 3.", "Released under GNU GPL v3."],
+    "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is available under the terms of the MIT license.", "Permission is hereby granted, free of charge, under the MIT License."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0.", "Released under the MPL, version 2.0.", "Covered by the Mozilla Public License, v. 2.0."],
+}
+_DECOYS = """All rights reserved. | You need a driving license to drive a car in the city. | The restaurant lost its liquor license last year. |
+The public library opened a new version of its catalogue. | She studied at MIT and works in a general hospital. | The software was free and the terms were clear. |
+Poetic license is the freedom of the writer. | Copyright by the author. All rights are reserved. | Permission was granted by the general manager. | The gnu is a large animal of the open plain. |
+Version 2.0 of the report was released under pressure. | Work under the new terms began in May. | This work is hard and the general public knows it. | Version 3 was released in the spring. |
+The Mozilla browser and the Apache helicopter have nothing in common. | A creative attribution of the noncommercial kind. | You may not use the lift in case of fire. | Terms and conditions apply. |
+The fishing license is valid for one year. | Contact us for a commercial license.""".replace("\n", " ").split(" | ")
+_SYLLABLES = "the an on th er in ed ti ha re nd es en at ou ing ion ly ble ea is or st nt le de la un que para los der die und ein ich sch au eau tion ment".split()
+FAMILIES = [*sorted(TEMPLATES), UNKNOWN]
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("paragraph", "start", "end")], T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("similarity", T.DoubleType()), T.StructField("confirmed", T.BooleanType())])
+
+
+def _prose(rng: random.Random, n: int) -> list[str]:
+    return ["".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+
+
+def samples(n: int = 400, seed: int = 3) -> tuple[list[str], np.ndarray]:
+    """n texts of each family and 4 n of the unknown class."""
+    rng = random.Random(seed)
+    texts, labels = [], []
+    for k, family in enumerate(FAMILIES[:-1]):
+        for _ in range(n):
+            words = rng.choice(TEMPLATES[family]).split()
+            if rng.random() < 0.5:
+                words = [w for w in words if rng.random() > 0.08]
+            if rng.random() < 0.3:
+                words = [w.upper() for w in words]
+            texts.append(" ".join([*_prose(rng, rng.choice([0, 0, 2, 8])), *words, *_prose(rng, rng.choice([0, 0, 2, 8]))]))
+            labels.append(k)
+    pool = [w for t in TEMPLATES.values() for x in t for w in x.split()]
+    for _ in range(4 * n):
+        kind = rng.random()
+        if kind < 0.5:
+            words = _prose(rng, rng.randint(1, WINDOW))
+        elif kind < 0.75:
+            words = [*_prose(rng, rng.choice([0, 4])), *rng.choice(_DECOYS).split(), *_prose(rng, rng.choice([0, 4]))]
+        else:
+            words = [rng.choice(pool) for _ in range(rng.randint(1, 12))]
+        texts.append(" ".join(words))
+        labels.append(len(FAMILIES) - 1)
+    return texts, np.array(labels)
+
+
+class Model:
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float):
+        self.weights, self.bias, self.temperature = weights.astype(np.float32), bias, temperature
+
+    def probabilities(self, logits: np.ndarray) -> np.ndarray:
+        z = logits / self.temperature
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+
+def _grams(hashes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For n of 1 to 3: the first word of each n-gram inside one owner, and the n-gram's bucket."""
+    at = np.arange(len(hashes))
+    for n in (1, 2, 3):
+        if len(hashes) >= n:
+            h, _ = textvec.word_ngrams(hashes, owner, n)
+            first = at[: len(hashes) - n + 1][owner[: len(hashes) - n + 1] == owner[n - 1 :]]
+            yield n, first, (h % np.uint64(DIMS)).astype(np.int64)
+
+
+def train(n: int = 400, seed: int = 3, steps: int = 60) -> Model:
+    texts, labels = samples(n, seed)
+    hashes, owner, _, _ = textvec.words(texts)
+    parts = list(_grams(hashes, owner))
+    rows = linear.Rows.counted(np.concatenate([b for _, _, b in parts]), np.concatenate([owner[f] for _, f, _ in parts]), len(texts), DIMS, SCALE, SMOOTH)
+    held = np.random.default_rng(seed).random(len(texts)) < 0.2
+    fitted = np.flatnonzero(~held)
+    w, b = linear.fit(rows.some(fitted), labels[fitted], len(FAMILIES), DIMS, steps=steps)
+    logits = (rows.dot(w) + b)[held]
+    return Model(w, b, linear.temperature(logits, labels[held]))
+
+
+def _trigrams(words: list[str]) -> set[tuple[str, ...]]:
+    return set(zip(words, words[1:], words[2:], strict=False)) or {tuple(words)}
+
+
+_TEMPLATE_GRAMS = {f: [_trigrams(re.findall(r"\w+", t.lower())) for t in ts] for f, ts in TEMPLATES.items()}
+
+
+def similarity(text: str, family: str) -> float:
+    """The largest share of a template's word 3-grams that the text holds."""
+    grams = _trigrams(re.findall(r"\w+", text.lower()))
+    return max(len(grams & t) / len(t) for t in _TEMPLATE_GRAMS[family])
+
+
+def classify(texts: list[str], model: Model) -> list[tuple[int, int, int, int, str, float, float]]:
+    """(text, paragraph, start, end, family, probability, similarity) of each run of predicted windows."""
+    hashes, owner, starts, ends = textvec.words(texts)
+    if not len(hashes):
+        return []
+    breaks = [np.flatnonzero(textvec.code_points(t) == 10) for t in texts]  # the lines of each text
+    line = np.concatenate([np.searchsorted(b, starts[owner == i]) for i, b in enumerate(breaks)]) if len(texts) > 1 else np.searchsorted(breaks[0], starts)
+    fresh = np.concatenate(([True], (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])))
+    paragraph = np.cumsum(fresh) - 1
+    begin = np.flatnonzero(fresh)
+    length = np.diff(np.append(begin, len(hashes)))
+    windows = np.maximum(1, -(-(length - WINDOW) // STRIDE) + 1)
+    of = np.repeat(np.arange(len(begin)), windows)
+    low = begin[of] + STRIDE * (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows))
+    high = np.minimum(low + WINDOW, (begin + length)[of])
+    logits, count = np.zeros((len(of), len(FAMILIES)), np.float64), np.zeros(len(of))
+    for n, first, bucket in _grams(hashes, paragraph):
+        sums = np.zeros((len(bucket) + 1, len(FAMILIES)), np.float32 if len(bucket) < 1 << 12 else np.float64)
+        np.cumsum(model.weights[bucket], axis=0, out=sums[1:])
+        i, j = np.searchsorted(first, low), np.searchsorted(first, np.maximum(high - n + 1, low))
+        logits += sums[j] - sums[i]
+        count += j - i
+    logits = SCALE * logits / (count + SMOOTH)[:, None] + model.bias
+    best = logits.argmax(axis=1)
+    hit = np.flatnonzero(best != len(FAMILIES) - 1)
+    out = []
+    if not len(hit):
+        return out
+    p = model.probabilities(logits[hit])[np.arange(len(hit)), best[hit]]
+    hit, p = hit[p >= MIN_PROBABILITY], p[p >= MIN_PROBABILITY]
+    k = 0
+    while k < len(hit):
+        m = k + 1
+        while m < len(hit) and hit[m] == hit[m - 1] + 1 and best[hit[m]] == best[hit[k]] and of[hit[m]] == of[hit[k]]:
+            m += 1
+        first, last = low[hit[k]], high[hit[m - 1]] - 1
+        text, family = int(owner[first]), FAMILIES[best[hit[k]]]
+        start, end = int(starts[first]), int(ends[last])
+        out.append((text, int(line[first]), start, end, family, float(p[k:m].max()), similarity(texts[text][start:end], family)))
+        k = m
+    return out
+
+
+def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """One row for each paragraph, or part of one, that the classifier assigns to a family."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or train())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = batch.column(0).to_pylist(), []
+            for first, texts in textvec.groups(batch.column(1).to_pylist()):
+                rows += [(ids[first + i], line, s, e, f, round(p, 6), round(x, 6), x >= MIN_SIMILARITY) for i, line, s, e, f, p, x in classify(texts, shared.value)]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], SCHEMA.names)
+
+    return require(docs, {"doc_id": T.LongType(), "text": T.StringType()}).mapInArrow(run, SCHEMA)
