@@ -27,7 +27,7 @@ from clausewright.session import require
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 MIN_LENGTH = 16
-THRESHOLD, PER_CHAR = 6.0, 0.25
+THRESHOLD, PER_CHAR = 10.0, 0.5
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}"
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("llr", T.DoubleType()), T.StructField("redacted", T.StringType()), T.StructField("digest", T.StringType())])
 _CODE = np.full(128, -1)
@@ -48,6 +48,8 @@ dans pour avec sont cette comme entre gouvernement developpement responsabilite
 para como pero este sobre entre desarrollo responsabilidad administracion conocimiento organizacion
 tion ing ment able ness ship keit heit schaft ung lich ation mente cion aux eur ique""".split()
 
+_SYLLABLES = "the an on th er in ed ti ha re nd es en at ou ing ion ly ble ea is or st nt sh wh he un que para ver sch ung heit keit lich ein der die und eau eux ment ille ier oi ai ch eur pas dad cion mente ado ido rra lla os as".split()
+
 
 def labelled_samples(n: int = 4000, seed: int = 5) -> list[tuple[str, bool]]:
     """n random strings (hexadecimal, base 32, base 58, base 64, mixed with key prefixes) and n ordinary identifiers."""
@@ -74,11 +76,14 @@ def labelled_samples(n: int = 4000, seed: int = 5) -> list[tuple[str, bool]]:
             text = "/".join(words)
         else:
             text = "".join(words)  # long words of prose
+        if style == 6 and rng.random() < 0.5:
+            text = "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(5, 12)))
         if rng.random() < 0.2:
             text += rng.choice(["", "_", "-"]) + str(rng.randint(0, 2050))
         if rng.random() < 0.1:
             text = rng.choice("=-_") * rng.randint(4, 40) + rng.choice(["", text])
         out.append((text, False))
+    out += [("".join(rng.choice("0123456789") for _ in range(rng.randint(8, 24))), False) for _ in range(n // 4)]
     for year in range(1990, 2031):  # dates, versions and plain numbers are ordinary
         out += [(f"{year}-{m:02}-{d:02}", False) for m in (1, 6, 12) for d in (1, 15, 28)] + [(f"{year}{m:02}{d:02}", False) for m in (2, 7, 11) for d in (3, 19)]
     return out

@@ -4,7 +4,7 @@ Paragraphs (lines that aren't blank) are read in windows of ``WINDOW`` words, ``
 paragraph is not diluted. A multinomial logistic regression on hashed word 1-, 2- and 3-grams gives each window a licence family or
 the unknown class; its probabilities are calibrated by a temperature fitted on held-out samples. A window of a family with
 probability ``MIN_PROBABILITY`` or more is a prediction; it is confirmed if it holds ``MIN_SIMILARITY`` or more of the word
-3-grams of a template of that family. Neighbouring predicted windows of one family in one paragraph are one row.
+pairs of a template of that family. Neighbouring predicted windows of one family in one paragraph are one row.
 
 The samples are made of the templates below (own wording of short notices) with words dropped, exchanged and added around
 them; the unknown class of invented prose, shuffled templates and sentences that only mention licences.
@@ -28,10 +28,10 @@ from pyspark.sql import types as T
 from clausewright.llm import linear, textvec
 from clausewright.session import require
 
-DIMS = 1 << 16
+DIMS = 1 << 18
 WINDOW, STRIDE = 32, 16
 SCALE, SMOOTH = 20.0, 8.0
-MIN_PROBABILITY, MIN_SIMILARITY = 0.5, 0.6
+MIN_PROBABILITY, MIN_SIMILARITY = 0.7, 0.5
 UNKNOWN = "unknown"
 TEMPLATES: dict[str, list[str]] = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "This file is licensed under the Apache License, version 2.0; you may not use it except in compliance with that License.", "Released under the Apache License 2.0.", "Distributed under the Apache Software License, Version 2.0."],
@@ -57,7 +57,7 @@ def _prose(rng: random.Random, n: int) -> list[str]:
 
 
 def samples(n: int = 400, seed: int = 3) -> tuple[list[str], np.ndarray]:
-    """n texts of each family and 4 n of the unknown class."""
+    """n texts of each family and 8 n of the unknown class."""
     rng = random.Random(seed)
     texts, labels = [], []
     for k, family in enumerate(FAMILIES[:-1]):
@@ -70,11 +70,13 @@ def samples(n: int = 400, seed: int = 3) -> tuple[list[str], np.ndarray]:
             texts.append(" ".join([*_prose(rng, rng.choice([0, 0, 2, 8])), *words, *_prose(rng, rng.choice([0, 0, 2, 8]))]))
             labels.append(k)
     pool = [w for t in TEMPLATES.values() for x in t for w in x.split()]
-    for _ in range(4 * n):
+    for _ in range(8 * n):
         kind = rng.random()
-        if kind < 0.5:
-            words = _prose(rng, rng.randint(1, WINDOW))
-        elif kind < 0.75:
+        if kind < 0.1:
+            words = [w for w in _prose(rng, rng.randint(1, 3)) for _ in range(rng.randint(4, WINDOW // 2))]
+        elif kind < 0.6:
+            words = _prose(rng, rng.randint(1, rng.choice([3, WINDOW])))
+        elif kind < 0.8:
             words = [*_prose(rng, rng.choice([0, 4])), *rng.choice(_DECOYS).split(), *_prose(rng, rng.choice([0, 4]))]
         else:
             words = [rng.choice(pool) for _ in range(rng.randint(1, 12))]
@@ -115,16 +117,16 @@ def train(n: int = 400, seed: int = 3, steps: int = 60) -> Model:
     return Model(w, b, linear.temperature(logits, labels[held]))
 
 
-def _trigrams(words: list[str]) -> set[tuple[str, ...]]:
-    return set(zip(words, words[1:], words[2:], strict=False)) or {tuple(words)}
+def _pairs(words: list[str]) -> set[tuple[str, ...]]:
+    return set(zip(words, words[1:], strict=False)) or {tuple(words)}
 
 
-_TEMPLATE_GRAMS = {f: [_trigrams(re.findall(r"\w+", t.lower())) for t in ts] for f, ts in TEMPLATES.items()}
+_TEMPLATE_GRAMS = {f: [_pairs(re.findall(r"\w+", t.lower())) for t in ts] for f, ts in TEMPLATES.items()}
 
 
 def similarity(text: str, family: str) -> float:
-    """The largest share of a template's word 3-grams that the text holds."""
-    grams = _trigrams(re.findall(r"\w+", text.lower()))
+    """The largest share of a template's word pairs that the text holds."""
+    grams = _pairs(re.findall(r"\w+", text.lower()))
     return max(len(grams & t) / len(t) for t in _TEMPLATE_GRAMS[family])
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausewright.llm import op1_quality, op6_neardup, op7_packing, op8_sharding, op9_pii, op10_mixing
+from clausewright.llm import op1_quality, op2_templates, op3_media, op4_secrets, op5_licences, op6_neardup, op7_packing, op8_sharding, op9_pii, op10_mixing
 from clausewright.session import table
 
 
@@ -14,6 +14,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_templates.strip(table(spark, sf_dir, "pages"))
+
+
+def op3_media_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media: each vector of ``embeddings`` is first rendered as a short film."""
+    return op3_media.detect(op3_media.rendered(table(spark, sf_dir, "embeddings")))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_neardup.groups(table(spark, sf_dir, "documents"))
 
@@ -36,6 +53,10 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_site_templates": op2_site_templates,
+    "op3_media_shots": op3_media_shots,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_licence_paragraphs": op5_licence_paragraphs,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sharding_groups": op8_sharding_groups,
