@@ -14,8 +14,7 @@ class Rows:
     """Sparse rows: for each row a run of (bucket, value) pairs."""
 
     def __init__(self, buckets: np.ndarray, values: np.ndarray, owner: np.ndarray, n: int):
-        order = np.argsort(owner, kind="stable")
-        self.buckets, self.values, self.owner, self.n = buckets[order], values[order].astype(np.float32), owner[order], n
+        self.buckets, self.values, self.owner, self.n = buckets.astype(np.int32), values.astype(np.float32), owner.astype(np.int32), n
 
     @staticmethod
     def counted(buckets: np.ndarray, owner: np.ndarray, n: int, dims: int, scale: float, smooth: float = 0.0) -> Rows:
