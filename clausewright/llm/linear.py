@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Features that are worked on at a time.
+CHUNK = 1 << 18
+
 
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -14,7 +17,7 @@ class Rows:
     """Sparse rows: for each row a run of (bucket, value) pairs."""
 
     def __init__(self, buckets: np.ndarray, values: np.ndarray, owner: np.ndarray, n: int):
-        self.buckets, self.values, self.owner, self.n = buckets.astype(np.int32), values.astype(np.float32), owner.astype(np.int32), n
+        self.buckets, self.values, self.owner, self.n = buckets.astype(np.int32), values.astype(np.float32), owner.astype(np.uint16 if n <= 1 << 16 else np.int32), n
 
     @staticmethod
     def counted(buckets: np.ndarray, owner: np.ndarray, n: int, dims: int, scale: float, smooth: float = 0.0) -> Rows:
@@ -28,6 +31,10 @@ class Rows:
     def joined(parts: list[Rows]) -> Rows:
         return Rows(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("buckets", "values", "owner")), parts[0].n)
 
+    def shifted(self, first: int, n: int) -> Rows:
+        """The same rows as rows ``first``, ``first + 1``, ... of ``n``."""
+        return Rows(self.buckets, self.values, self.owner.astype(np.int64) + first, n)
+
     def some(self, rows: np.ndarray) -> Rows:
         at = np.full(self.n, -1)
         at[rows] = np.arange(len(rows))
@@ -35,14 +42,70 @@ class Rows:
         return Rows(self.buckets[mine], self.values[mine], at[self.owner[mine]], len(rows))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.owner, self.values * w[self.buckets, k], self.n) for k in range(w.shape[1])], axis=1)
+        out = np.zeros((self.n, w.shape[1]))
+        for k in range(w.shape[1]):
+            column = np.ascontiguousarray(w[:, k], np.float32)
+            for at in range(0, len(self.owner), CHUNK):
+                s = slice(at, at + CHUNK)
+                out[:, k] += np.bincount(self.owner[s], self.values[s] * column[self.buckets[s]], self.n)
+        return out
 
     def back(self, g: np.ndarray, dims: int) -> np.ndarray:
-        return np.stack([np.bincount(self.buckets, self.values * g[self.owner, k], dims) for k in range(g.shape[1])], axis=1)
+        out = np.zeros((dims, g.shape[1]))
+        for k in range(g.shape[1]):
+            column = np.ascontiguousarray(g[:, k], np.float32)
+            for at in range(0, len(self.owner), CHUNK):
+                s = slice(at, at + CHUNK)
+                out[:, k] += np.bincount(self.buckets[s], self.values[s] * column[self.owner[s]], dims)
+        return out
+
+
+class Blocks:
+    """Rows whose features lie in several blocks of about ``BLOCK``, so that they are never copied all at once."""
+
+    BLOCK = 1 << 20
+
+    def __init__(self, n: int):
+        self.n, self.blocks, self.open = n, [], []
+
+    def add(self, part: Rows) -> None:
+        self.open.append(part)
+        if sum(len(p.owner) for p in self.open) >= self.BLOCK:
+            self.close()
+
+    def close(self) -> Blocks:
+        if self.open:
+            self.blocks.append(Rows.joined(self.open))
+            self.open = []
+        return self
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return sum((b.dot(w) for b in self.blocks), np.zeros((self.n, w.shape[1])))
+
+    def back(self, g: np.ndarray, dims: int) -> np.ndarray:
+        return sum((b.back(g, dims) for b in self.blocks), np.zeros((dims, g.shape[1])))
+
+
+def _fit_binary(rows: Rows | Blocks, label: np.ndarray, dims: int, steps: int, rate: float, l2: float, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    w, b, m, v, mb, vb = np.zeros(dims), 0.0, np.zeros(dims), np.zeros(dims), 0.0, 0.0
+    for t in range(1, steps + 1):
+        p = 1 / (1 + np.exp(-np.clip(2 * (rows.dot(w[:, None])[:, 0] + b), -60, 60)))
+        error = (p - label) * (weight / weight.sum())
+        g, gb = rows.back(error[:, None], dims)[:, 0] + l2 * w, error.sum()
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        c1, c2 = 1 - 0.9**t, 1 - 0.999**t
+        w = w - rate * (m / c1) / (np.sqrt(v / c2) + 1e-9)
+        b = b - rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
+    return w, b
 
 
-def fit(rows: Rows, label: np.ndarray, classes: int, dims: int, steps: int = 80, rate: float = 0.05, l2: float = 1e-6, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(weights (dims, classes), bias). Multinomial; of two classes the difference of columns is the usual binary model."""
+def fit(rows: Rows | Blocks, label: np.ndarray, classes: int, dims: int, steps: int = 80, rate: float = 0.05, l2: float = 1e-6, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(weights (dims, classes), bias). Multinomial; of two classes the difference of columns is the usual binary model. A row of weight
+    0 plays no part."""
+    if classes == 2:  # the columns are each other's negative: one is enough
+        w, b = _fit_binary(rows, label, dims, steps, rate, l2, np.ones(len(label)) if weight is None else weight)
+        return np.stack([-w, w], axis=1), np.array([-b, b])
     w, b = np.zeros((dims, classes)), np.zeros(classes)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     weight = np.ones(len(label)) if weight is None else weight

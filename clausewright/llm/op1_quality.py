@@ -63,15 +63,13 @@ def _char_buckets(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (h % np.uint32(DIMS)).astype(np.int64), owner
 
 
-def features(texts: list[str | None]) -> linear.Rows:
-    parts, n = [], len(texts)
-    for first, run in textvec.groups(texts):
+def features(texts: list[str | None]) -> linear.Blocks:
+    rows = linear.Blocks(len(texts))
+    for first, run in textvec.groups(texts, 1 << 15):  # short runs: all features of a run are sorted at once
         chars = list(_char_buckets(run))
         for buckets, owner in (_word_buckets(run), tuple(np.concatenate(x) for x in zip(*chars, strict=True)) if chars else (np.zeros(0, np.int64),) * 2):
-            part = linear.Rows.counted(buckets, owner, len(run), DIMS, SCALE, SMOOTH)
-            part.owner, part.n = part.owner + first, n
-            parts.append(part)
-    return linear.Rows.joined(parts)
+            rows.add(linear.Rows.counted(buckets, owner, len(run), DIMS, SCALE, SMOOTH).shifted(first, len(texts)))
+    return rows.close()
 
 
 def scores(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndarray:
@@ -112,9 +110,9 @@ def train(texts: list[str | None], quality: np.ndarray, counts: dict[int, int],
     if len(set(quality[held].tolist())) < 2:
         held[:] = False
     share = np.where(quality == 1, counts.get(1, 1) / max(1, (quality == 1).sum()), counts.get(0, 1) / max(1, (quality == 0).sum()))
-    fitted = np.flatnonzero(~held)
+    fitted = ~held
     balance = np.where(quality == 1, 0.5 / max(1, (quality[fitted] == 1).sum()), 0.5 / max(1, (quality[fitted] == 0).sum()))
-    w, b = linear.fit(rows.some(fitted), quality[fitted], 2, DIMS, steps=steps, weight=balance[fitted])
+    w, b = linear.fit(rows, quality, 2, DIMS, steps=steps, weight=balance * fitted)
     weights, bias = (w[:, 1] - w[:, 0]).astype(np.float32), float(b[1] - b[0])
     check = held if held.any() else ~held
     score = rows.dot(weights[:, None].astype(float))[:, 0] + bias
@@ -128,7 +126,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in textvec.sliced(batches):
             s = scores(batch.column(1).to_pylist(), m.weights, m.bias)
             p = m.probability(s)
             verdict = np.where(p >= KEEP, "keep", np.where(p >= REJECT, "review", "reject"))
@@ -149,7 +147,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in textvec.sliced(batches):
             p = m.probability(scores(batch.column(at).to_pylist(), m.weights, m.bias))
             yield batch.filter(pa.array(p >= REJECT))
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausewright.llm import textvec
 from clausewright.session import cut, require
 
 MIN_PAGES, SHARE = 5, 0.01
@@ -165,7 +166,7 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     """(host, hash) of the template elements. ``pages`` has host and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.sliced(batches):
             hosts, hashes = [], []
             for host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = block_hashes(parse(source))
@@ -196,7 +197,7 @@ def strip(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) ->
 
         def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets: dict[str | None, frozenset[int]] = {None: frozenset()}
-            for batch in batches:
+            for batch in textvec.sliced(batches):
                 ids, hosts, sources = (c.to_pylist() for c in batch.columns)
                 for h in set(hosts) - sets.keys():
                     sets[h] = frozenset(shared.value[h].tolist()) if h in shared.value else frozenset()
@@ -205,7 +206,7 @@ def strip(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) ->
         return pages.mapInArrow(narrow, SCHEMA)
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.sliced(batches):
             ids, hosts, sources, hashes = (c.to_pylist() for c in batch.columns)
             yield rows(ids, hosts, sources, (frozenset(h + (1 << 64) if h < 0 else h for h in x or ()) for x in hashes))
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausewright.llm import textvec
 from clausewright.session import require
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -139,7 +140,7 @@ def scan(docs: DataFrame, samples: Iterable[tuple[str, bool]] | None = None) ->
     pattern = re.compile(CANDIDATE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.sliced(batches):
             out: dict[str, list] = {f.name: [] for f in SCHEMA}
             for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for m in pattern.finditer(text):

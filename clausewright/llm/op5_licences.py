@@ -178,7 +178,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.sliced(batches):
             ids, rows = batch.column(0).to_pylist(), []
             for first, texts in textvec.groups(batch.column(1).to_pylist()):
                 rows += [(ids[first + i], line, s, e, f, round(p, 6), round(x, 6), x >= MIN_SIMILARITY) for i, line, s, e, f, p, x in classify(texts, shared.value)]

@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, f0, f1 of every row; both null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textvec.sliced(batches):
             fp = textvec.simhash(batch.column(1).to_pylist(), (1, 2), 128)
             none = (fp == 0).all(axis=1)
             f = [pa.array(fp[:, k].view(np.int64), pa.int64(), mask=none) for k in (0, 1)]

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausewright.llm import textvec
 from clausewright.session import cut, require
 
 ROUNDS = 3
@@ -131,7 +132,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda s: xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
-        for batch in batches:
+        for batch in textvec.sliced(batches):
             out: dict[str, list] = {f.name: [] for f in OCCURRENCE}
             for doc, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for start, end, value, seed, patterns in candidates(text):

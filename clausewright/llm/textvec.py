@@ -10,8 +10,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-WINDOW = 1 << 19
+WINDOW = 1 << 17
+#: Bytes of the batches that texts are worked on in; Arrow's own batches go by rows and may be far larger.
+SLICE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _tables: dict[str, np.ndarray] = {}
@@ -59,6 +62,14 @@ def lowered(cp: np.ndarray) -> np.ndarray:
     return np.where(cp < len(table), table[np.minimum(cp, len(table) - 1)], cp)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes, one row at least, so that few texts are Python strings at a time."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * limit / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def groups(texts: list[str | None], limit: int = WINDOW) -> Iterator[tuple[int, list[str]]]:
     """Runs of neighbouring texts of at most ``limit`` characters together; a longer text is a run of its own."""
     first, run, size = 0, [], 0
