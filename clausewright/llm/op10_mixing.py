@@ -113,7 +113,8 @@ def draw(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, m
     room = F.col("quota") - F.col("turn") * F.col("total") - (F.col("upto") - F.col("words"))  # what the budget has left for the block
     start = (F.col("turn") * F.col("total") + F.col("upto") - F.col("words")) / F.greatest(F.col("quota"), F.lit(1))
     turns = turns.withColumn("room", room).withColumn("rank", start)
-    turns = cut(turns.where("turn < full OR room > 0").select("source", "blocks", "block", "turn", "rank", (F.col("turn") >= F.col("full")).alias("last"), "room", "words", (F.col("words") / F.greatest(F.col("quota"), F.lit(1))).alias("width")), "turns")
+    span = F.when(F.col("turn") >= F.col("full"), F.least("words", "room")).otherwise(F.col("words"))  # a torn block ends where the budget does
+    turns = cut(turns.where("turn < full OR room > 0").select("source", "blocks", "block", "turn", "rank", (F.col("turn") >= F.col("full")).alias("last"), "room", "words", (span / F.greatest(F.col("quota"), F.lit(1))).alias("width")), "turns")
     whole = turns.where("NOT last OR words <= room").select(F.col("source").alias("__s"), F.col("block").alias("__b"), "turn", "rank", "width")
     torn = turns.where("last AND words > room").select(F.col("source").alias("__s"), F.col("block").alias("__b"), "turn", "rank", "width", "room")
     if turns.count() <= BROADCAST_ROWS:
