@@ -1,0 +1,160 @@
+"""Source trees: the listing with its policy on the driver, reading and decoding on the executors."""
+
+from __future__ import annotations
+
+import hashlib
+import os
+import stat
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from clausewright.functions.policy import PROJECT_SKIPS
+
+PROBE = 8192
+CONTENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("sha256", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("text", T.StringType()), T.StructField("problem", T.StringType())])
+
+
+@dataclass(frozen=True)
+class ScanOptions:
+    """Limits and scope of a scan; a limit of 0 is none."""
+
+    max_depth: int = 32
+    max_files: int = 10_000
+    max_file_size: int = 1 << 20
+    skip_dirs: tuple[str, ...] = ()
+    no_default_skip: bool = False
+    include_legal_files: bool = False
+    scanner_version: str = "dev"
+
+    def __post_init__(self) -> None:
+        for name in ("max_depth", "max_files", "max_file_size"):
+            if getattr(self, name) < 0:
+                raise ValueError(f"{name} must not be negative")
+
+    @property
+    def scope(self) -> str:
+        return "all" if self.no_default_skip else "project"
+
+
+@dataclass
+class Listing:
+    root: str
+    tasks: list[tuple[int, str, str]]  # doc_id, full path, path shown
+    skipped: list[tuple[str, str]]
+    errors: list[tuple[str, str]]
+    directories_skipped: int = 0
+    truncated: bool = False
+
+
+def _directory_reason(name: str, depth: int, options: ScanOptions) -> str | None:
+    if options.max_depth and depth > options.max_depth:
+        return "depth"
+    if name == ".git":
+        return "version-control"
+    if name in options.skip_dirs:
+        return "configured-directory"
+    if not options.no_default_skip and name.startswith("."):
+        return "hidden-directory"
+    return "project-scope" if not options.no_default_skip and name in PROJECT_SKIPS else None
+
+
+def discover(root: str, options: ScanOptions = ScanOptions()) -> Listing:
+    """The files to scan, in lexical order of the walk, and what is passed over and why. A root may be a single file."""
+    found = Listing(root, [], [], [])
+    info = os.stat(root)
+    if not stat.S_ISDIR(info.st_mode):
+        shown = os.path.basename(root)
+        reason = "not-regular" if not stat.S_ISREG(info.st_mode) else "size" if options.max_file_size and info.st_size > options.max_file_size else None
+        if reason:
+            found.skipped.append((shown, reason))
+        else:
+            found.tasks.append((0, root, shown))
+        return found
+    todo: list[tuple[str, str, int]] = [(os.path.realpath(root), "", 0)]
+    while todo:
+        full, shown, depth = todo.pop()
+        if shown and not os.path.islink(full) and os.path.isdir(full) or not shown:
+            reason = _directory_reason(os.path.basename(shown), depth, options) if shown else None
+            if reason:
+                found.directories_skipped += 1
+                found.skipped.append((shown, reason))
+                continue
+            try:
+                names = sorted(os.listdir(full), reverse=True)
+            except OSError as e:
+                found.errors.append((shown or ".", str(e)))
+                continue
+            todo += [(os.path.join(full, n), f"{shown}/{n}" if shown else n, depth + 1) for n in names]
+            continue
+        if options.max_files and len(found.tasks) >= options.max_files:
+            found.truncated = True
+            break
+        try:
+            info = os.lstat(full)
+        except OSError as e:
+            found.errors.append((shown, str(e)))
+            continue
+        if stat.S_ISLNK(info.st_mode):
+            found.skipped.append((shown, "symlink"))
+        elif not stat.S_ISREG(info.st_mode):
+            found.skipped.append((shown, "not-regular"))
+        elif options.max_file_size and info.st_size > options.max_file_size:
+            found.skipped.append((shown, "size"))
+        else:
+            found.tasks.append((len(found.tasks), full, shown))
+    return found
+
+
+def decode(data: bytes) -> tuple[str, str] | None:
+    """(encoding, text) of the bytes of a file; None for a binary one."""
+    for mark, name in ((b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be")):
+        if data.startswith(mark):
+            return name, data[2:].decode(name.replace("16", "16-"), "replace")
+    if b"\0" in data:
+        return None
+    if data.startswith(b"\xef\xbb\xbf"):
+        return "utf-8-bom", data[3:].decode("utf-8", "replace")
+    try:
+        return "utf-8", data.decode("utf-8")
+    except UnicodeDecodeError:
+        return "latin-1", data.decode("latin-1")
+
+
+def raw_offset(text: str, encoding: str, offset: int) -> int:
+    """The place in the file of a byte offset in the decoded text's UTF-8."""
+    if encoding == "utf-8":
+        return offset
+    if encoding == "utf-8-bom":
+        return offset + 3
+    prefix = text.encode("utf-8")[:offset].decode("utf-8", "ignore")
+    return len(prefix) if encoding == "latin-1" else 2 + len(prefix.encode("utf-16-le"))
+
+
+def read(spark: SparkSession, found: Listing, options: ScanOptions = ScanOptions(), partitions: int | None = None) -> DataFrame:
+    """One row for each listed file; ``problem`` is binary, size or an error. Files are read where the tasks run, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, full, shown in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row: list = [doc, shown, None, None, None, None, None]
+                try:
+                    with open(full, "rb") as f:
+                        data = f.read(options.max_file_size + 1 if options.max_file_size else -1)
+                except OSError as e:
+                    row[6] = f"error: {e}"
+                else:
+                    decoded = decode(data)
+                    if decoded is None:
+                        row[6] = "binary"
+                    elif options.max_file_size and len(data) > options.max_file_size:
+                        row[6] = "size"
+                    else:
+                        row[2:6] = [len(data), hashlib.sha256(data).hexdigest(), *decoded]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()), strict=True)], CONTENT.names)
+
+    tasks = spark.createDataFrame(found.tasks, "doc_id long, full string, path string")
+    return tasks.repartition(partitions or max(1, min(len(found.tasks) // 64 + 1, spark.sparkContext.defaultParallelism * 4))).mapInArrow(run, CONTENT)

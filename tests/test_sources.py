@@ -1,0 +1,94 @@
+"""Trees, rule files, the report and the stream."""
+
+import json
+
+import pytest
+
+from clausewright.operators import rules
+from clausewright.plans import report
+from clausewright.sources import rulefiles, trees
+from clausewright.streaming import watch
+
+
+@pytest.fixture()
+def tree(tmp_path):
+    files = {
+        "LICENSE": b"Released under the MIT License.\n", "src/a.py": b"# Licensed under the Apache License, Version 2.0\nx = 1\n",
+        "src/b.py": b"# nothing\n", "src/bin.dat": b"ab\0cd MIT License", "vendor/c.py": b"MIT License", ".git/config": b"MIT License", ".hidden": b"MIT License",
+        "wide.txt": b"\xff\xfe" + "é MIT License".encode("utf-16-le"), "old.txt": "é MIT License".encode("latin-1"), "mark.txt": b"\xef\xbb\xbfMIT License",
+        "big.txt": b"x" * 3000, "package.json": json.dumps({"license": "MIT"}).encode(), "sub/package.json": b"{broken", "split.py": b"# MIT\n\n# License\n",
+        "tag.c": b"/* SPDX-License-Identifier: MIT OR Apache-2.0 */\n",
+    }
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "link").symlink_to(tmp_path / "LICENSE")
+    return tmp_path
+
+
+def test_discover(tree):
+    found = trees.discover(str(tree), trees.ScanOptions(max_file_size=2000))
+    assert [p for _, _, p in found.tasks] == [".hidden", "LICENSE", "mark.txt", "old.txt", "package.json", "split.py", "src/a.py", "src/b.py", "src/bin.dat", "sub/package.json", "tag.c", "wide.txt"]
+    assert sorted(found.skipped) == [(".git", "version-control"), ("big.txt", "size"), ("link", "symlink"), ("vendor", "project-scope")]
+    assert trees.discover(str(tree), trees.ScanOptions(max_files=3)).truncated
+    assert ("src", "depth") not in trees.discover(str(tree), trees.ScanOptions(max_depth=1)).skipped
+    with pytest.raises(ValueError):
+        trees.ScanOptions(max_depth=-1)
+
+
+@pytest.mark.parametrize("data, encoding, text", [(b"abc", "utf-8", "abc"), (b"\xef\xbb\xbfa", "utf-8-bom", "a"), ("aé".encode("utf-16"), "utf-16le", "aé"), (b"\xe9", "latin-1", "é"), (b"", "utf-8", "")])
+def test_decode(data, encoding, text):
+    assert trees.decode(data) == (encoding, text)
+
+
+def test_offsets_point_into_the_file():
+    for encoding, data in (("utf-8-bom", b"\xef\xbb\xbf" + "é 🎉 MIT".encode()), ("utf-16le", "é 🎉 MIT".encode("utf-16")), ("latin-1", "é ä MIT".encode("latin-1"))):
+        name, text = trees.decode(data)
+        at = trees.raw_offset(text, name, text.encode().index(b"MIT"))
+        assert name == encoding and data[at:].startswith("MIT".encode("utf-16-le" if "16" in encoding else "ascii"))
+
+
+def test_report(spark, tree):
+    found = report.scan_repository(spark, str(tree), options=trees.ScanOptions(max_file_size=2000), matched_text=True)
+    files = {f["path"]: f for f in found["files"]}
+    assert {"LICENSE", "src/a.py", "wide.txt", "old.txt", "mark.txt", ".hidden", "tag.c"} <= files.keys() and "src/b.py" not in files
+    assert files["LICENSE"]["roles"] == ["license"]
+    for name, data in (("wide.txt", "MIT License".encode("utf-16-le")), ("old.txt", b"MIT License"), ("mark.txt", b"MIT License")):
+        m = files[name]["detections"][0]["matches"][0]
+        assert (tree / name).read_bytes()[m["start"] : m["end"]] == data
+    assert not files["split.py"]["detections"] and files["split.py"]["clues"]
+    assert found["declared"] == [{"path": "package.json", "raw": ["MIT"], "license_file": "", "normalized_expression": "MIT"}]
+    assert [e["path"] for e in found["errors"]] == ["sub/package.json"]
+    s = found["summary"]
+    assert (s["files_visited"], s["files_scanned"], s["files_skipped_binary"], s["files_skipped_size"], s["files_skipped_other"], s["directories_skipped"]) == (14, 11, 1, 1, 1, 2)
+    assert report.exit_code(found) == 2 and "LICENSE" in report.human(found)
+    assert any(e["root"] for e in found["expressions"])
+    json.dumps(found)
+
+
+def test_empty_tree(spark, tmp_path):
+    found = report.scan_repository(spark, str(tmp_path))
+    assert found["files"] == [] and report.exit_code(found) == 3
+
+
+def test_rule_files(spark, tmp_path):
+    (tmp_path / "x.RULE").write_text("\n---\nlicense_expression: mit\nis_license_notice: yes\nrelevance: 90\n---\n\nunder the terms of X\n")
+    (tmp_path / "y.LICENSE").write_text("---\nkey: isc\n---\nthe text\n")
+    (tmp_path / "notes.txt").write_text("no rule")
+    raw = rulefiles.load_directory(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in raw.collect()) == [("x.RULE", "mit", "under the terms of X", 4, 90), ("y.LICENSE", "isc", "the text", 2, 100)]
+    prepared = rules.prepare(raw)
+    assert rules.violations(prepared).isEmpty()
+    rulefiles.write_table(prepared, f"{tmp_path}/out")
+    assert sorted(rulefiles.read_table(spark, f"{tmp_path}/out").collect()) == sorted(prepared.collect())
+    for bad in ("no front", "---\nkey: x\n", "---\nrelevance: 101\nlicense_expression: mit\n---\nx", "---\na: b\n---\nx"):
+        with pytest.raises(ValueError):
+            rulefiles.parse_rule("z.RULE", bad)
+
+
+def test_stream(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Released under the MIT License"), (2, "no")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/in")
+    q = watch.start(spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in"), rules.builtin(spark), f"{tmp_path}/out", f"{tmp_path}/check", once=True)
+    q.awaitTermination()
+    assert {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {1}
