@@ -31,8 +31,10 @@ from pyspark.sql import types as T
 from clausewright.llm import textvec
 from clausewright.session import cut, require
 
-RADIUS, PIVOTS = 14, 48
-TABLES, KEY_BITS = 32, 20
+#: Near copies of Jaccard 0.85 lie at about 16 bits, unrelated texts beyond 27. TABLES may be 128 at most (low bits of a key).
+RADIUS, PIVOTS = 20, 48
+TABLES, KEY_BITS = 72, 18
+TABLE_BITS = 7
 BLOCK = 1 << 20
 #: Dropped ids are broadcast to the texts up to this number (8 MB of longs); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -117,7 +119,7 @@ def _first_table(fp_a: np.ndarray, fp_b: np.ndarray, number: np.ndarray) -> np.n
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, f0, f1) sorted by key; the low five bits of a key are its table. Emits verified pairs."""
+    """Rows (key, id, f0, f1) sorted by key; the low ``TABLE_BITS`` bits of a key are its table. Emits verified pairs."""
     reference = pivots()
     held: list[np.ndarray] = []
 
@@ -154,7 +156,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fp = rows[s : s + n, 2:].view(np.uint64)
             out += [(i + s, j + s, d) for i, j, d in bucket_pairs(fp, pivot_table(fp, reference))]
         for i, j, d in out:
-            fresh = _first_table(rows[i, 2:].view(np.uint64), rows[j, 2:].view(np.uint64), key[i] & 31)
+            fresh = _first_table(rows[i, 2:].view(np.uint64), rows[j, 2:].view(np.uint64), key[i] & ((1 << TABLE_BITS) - 1))
             i, j, d = i[fresh], j[fresh], d[fresh]
             if len(i):
                 a, b = rows[i, 1], rows[j, 1]
@@ -178,7 +180,7 @@ def near_pairs(nodes: DataFrame) -> DataFrame:
     keys = []
     for t, (m0, m1) in enumerate(MASKS.view(np.int64).tolist()):
         h = F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(m0)), F.col("f1").bitwiseAND(F.lit(m1)))
-        keys.append(h.bitwiseAND(F.lit(-32)) + F.lit(t))
+        keys.append(h.bitwiseAND(F.lit(-1 << TABLE_BITS)) + F.lit(t))
     rows = nodes.select(F.explode(F.array(*keys)).alias("key"), "id", "f0", "f1")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, EDGE)
 

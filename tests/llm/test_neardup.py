@@ -96,3 +96,20 @@ def test_drop_copies_keeps_one_of_each(spark):
     d = docs(spark, [(3, prose(1, 50)), (1, prose(1, 50)), (2, prose(2, 50)), (2, prose(2, 50)), (None, prose(1, 50)), (None, prose(1, 50)), (7, ""), (8, None)])
     kept = rows(n.drop_copies(d).select("doc_id"))
     assert sorted(kept, key=repr) == sorted([(1,), (2,), (None,), (None,), (7,), (8,)], key=repr)
+
+
+def test_recall_against_text_similarity(spark):
+    """One copy of each text, with 4 to 10 words replaced: pairs of like texts, by their words and word pairs, are in one group."""
+    texts = []
+    for k in range(120):
+        words = prose(5000 + k, 230).split()
+        copy, rng = list(words), random.Random(k)
+        for at in rng.sample(range(230), rng.randint(4, 10)):
+            copy[at] = prose(rng.random(), 1)
+        texts += [" ".join(words), " ".join(copy)]
+    features = [{*w, *zip(w, w[1:], strict=False)} for w in (t.split() for t in texts)]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(features[i] & features[j]) >= 0.85 * len(features[i] | features[j])]
+    group = {r["doc_id"]: r["group_id"] for r in n.groups(docs(spark, list(enumerate(texts)))).collect()}
+    assert len(alike) > 100
+    assert sum(group[i] == group[j] for i, j in alike) >= 0.9 * len(alike)
+    assert all(i // 2 == group[i] // 2 for i in group)
