@@ -1,13 +1,13 @@
 """Personal identifiers by bootstrapped contextual extraction.
 
 1. Candidates: every run of a text that could be an identifier (an address with ``@``, a number of 7 digits or more with its
-   separators, a long token of letters and digits), with its lexical patterns: its shape, the words left and right of it, and
-   both together.
+   separators, a long token of letters and digits), with its lexical patterns: the words left and right of it, alone and with
+   its shape. Shape alone is no pattern: it can't tell a card number from any other number of 16 digits.
 2. Seeds: candidates that a strict validator of a type accepts (mail address, IPv4 address, phone number with country code, card
-   number with a correct check digit, a token assigned to a secret's name). Numbers that are plainly something else (dates, times)
-   are negative seeds.
+   number with a correct check digit, a token assigned to a secret's name). Numbers that are plainly something else (dates, times,
+   numbers written like a card's whose check digit is wrong) are negative seeds.
 3. Spark scores the bipartite graph of patterns and instances for ``ROUNDS`` rounds. A pattern's confidence for a type is the
-   mass of its instances of that type over that mass, the mass of other types and ``UNKNOWN`` of the rest; only patterns that
+   mass of its instances of that type over that mass, the mass of other types and ``UNKNOWN`` (all) of the rest; only patterns that
    ``SUPPORT`` distinct seeds or accepted instances share count. An instance's score is 1 - prod(1 - confidence) over its patterns
    of confidence ``PATTERN_MIN`` or more. Seeds keep score 1.
 4. Instances of score ``ACCEPT`` or more are identifiers, so numbers and tokens that no validator knows are found by pattern.
@@ -35,7 +35,7 @@ from clausewright.session import cut, require
 
 ROUNDS = 3
 SUPPORT = 5
-UNKNOWN = 0.02
+UNKNOWN = 1.0
 PATTERN_MIN, ACCEPT = 0.6, 0.8
 #: Accepted spans of at most so many rows are broadcast to the texts; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -51,6 +51,8 @@ CANDIDATE = re.compile(
 )
 _EMAIL = re.compile(r"[\w.+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 _PHONE = re.compile(r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}")
+#: Written like a card number; numbers that begin with 00 may be phone numbers.
+_CARD_LENGTH = re.compile(r"(?!00)\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}")
 _DATE = re.compile(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[ T]\d{1,2}(?::\d{2}){1,2})?|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{1,2}(?::\d{2}){1,2}")
 _SECRET = re.compile(r"(?:api[_-]?key|access[_-]?key|token|secret|passwd|password|auth)[\"']?\s*[:=]\s*[\"']?$", re.I)
 _STRIP = ".,;:!?*#$%&"
@@ -95,7 +97,7 @@ def seed_type(value: str, left: str) -> str | None:
     digits = re.sub(r"[ -]", "", value)
     if re.fullmatch(r"[3-6]\d{12,18}", digits) and luhn(digits):
         return "card"
-    return None
+    return "other" if _CARD_LENGTH.fullmatch(value) and not luhn(digits) else None
 
 
 def _word(text: str, last: bool) -> str:
@@ -119,7 +121,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str | None, list[str]
         form, before, after = shape(value), _word(left, True), _word(right, False)
         kind = form[0] if form[0] in "Lht" else "n"
         previous = _word(left.rstrip()[: len(left.rstrip()) - len(left.split()[-1])], True) if left.split() else "^"
-        patterns = [f"S {form}", f"LS {before} {form}", f"RS {after} {form}", f"LL {previous} {before} {kind}", f"LR {before} {after} {kind}"]
+        patterns = [f"LS {before} {form}", f"RS {after} {form}", f"LL {previous} {before} {kind}", f"LR {before} {after} {kind}"]
         yield start, end, value, seed_type(value, left), patterns
 
 

@@ -149,3 +149,19 @@ def test_mask_replaces_only_identifiers(spark):
     assert "user3@example.org" not in after[3] and "<EMAIL>" in after[3] and "<PHONE>" in after[3]
     assert after[1001] == before[1001]
     assert after[3].startswith(before[3][:20])
+
+
+def test_shape_alone_makes_no_card(spark):
+    rng = random.Random(11)
+
+    def number(good: bool) -> str:
+        while True:
+            n = "4" + "".join(rng.choice("0123456789") for _ in range(15))
+            if op9_pii.luhn(n) == good:
+                return n
+
+    people = [(i, f"{prose(i, 9)} {number(i % 2 == 0)} {prose(i + 500, 9)}") for i in range(60)]
+    found = op9_pii.find(docs(spark, people)).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(0, 60, 2)) and {r["type"] for r in found} == {"card"}
+    tokens = [(i, f'token = "{rng.getrandbits(128):032x}"') for i in range(20)] + [(100 + i, f"{prose(i, 9)} {rng.getrandbits(128):032x} {prose(i + 900, 9)}") for i in range(5)]
+    assert {r["doc_id"] for r in op9_pii.find(docs(spark, tokens)).collect()} == set(range(20))
