@@ -1,7 +1,7 @@
 """Personal identifiers by bootstrapped contextual extraction.
 
 1. Candidates: every run of a text that could be an identifier (an address with ``@``, a number of 7 digits or more with its
-   separators, a long token of letters and digits), with its lexical patterns: the words left and right of it, alone and with
+   separators, a long token of letters and digits; a name and ``=`` before it are not part of it), with its lexical patterns: the words left and right of it, alone and with
    its shape. Shape alone is no pattern: it can't tell a card number from any other number of 16 digits.
 2. Seeds: candidates that a strict validator of a type accepts (mail address, IPv4 address, phone number with country code, card
    number with a correct check digit, a token assigned to a secret's name). Numbers that are plainly something else (dates, times,
@@ -46,7 +46,7 @@ CANDIDATE = re.compile(
     r"""|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"""
     r"""|(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)"""
     r"""|(?<!\w)\d{4}(?:[ -]\d{4}){3}(?!\w)"""
-    r"""|[A-Za-z0-9_+/=-]{16,}"""
+    r"""|[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])|[A-Za-z0-9_+/-]{16,}"""
     r"""|(?<![\w+])\+?\d+(?:[ .:/-]\d+)*(?!\w)"""
 )
 _EMAIL = re.compile(r"[\w.+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
@@ -54,7 +54,10 @@ _PHONE = re.compile(r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,
 #: Written like a card number; numbers that begin with 00 may be phone numbers.
 _CARD_LENGTH = re.compile(r"(?!00)\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}")
 _DATE = re.compile(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[ T]\d{1,2}(?::\d{2}){1,2})?|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{1,2}(?::\d{2}){1,2}")
-_SECRET = re.compile(r"(?:api[_-]?key|access[_-]?key|token|secret|passwd|password|auth)[\"']?\s*[:=]\s*[\"']?$", re.I)
+_NAMED = r"(?:api[_-]?key|access[_-]?key|token|secret|passwd|password|auth)[\"']?\s*[:=]"
+_SECRET = re.compile(_NAMED + r"\s*[\"']?$", re.I)
+#: Texts without a match hold no candidate; neither Python nor the masking sees them.
+SUSPECT = "[0-9@]|(?i:" + _NAMED + ")"
 _STRIP = ".,;:!?*#$%&"
 OCCURRENCE = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("instance", T.LongType()), T.StructField("seed", T.StringType()), T.StructField("masked", T.StringType()), T.StructField("patterns", T.ArrayType(T.LongType()))]
@@ -113,7 +116,8 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str | None, list[str]
     for m in CANDIDATE.finditer(text):
         value = m[0].strip(_STRIP) if "@" in m[0] else m[0]
         digits = sum(c.isdigit() for c in value)
-        if not value or ("@" not in value and (digits < 7 if len(value) < 16 or not re.search("[A-Za-z]", value) else digits < 4)) and not re.fullmatch(r"\d+(?:\.\d+){3}", value):
+        named = len(value) >= 16 and bool(_SECRET.search(text[max(0, m.start() - 80) : m.start()]))
+        if not value or ("@" not in value and not named and (digits < 7 if len(value) < 16 or not re.search("[A-Za-z]", value) else digits < 4)) and not re.fullmatch(r"\d+(?:\.\d+){3}", value):
             continue
         start = m.start() + m[0].index(value)
         end = start + len(value)
@@ -130,7 +134,7 @@ def mask_value(value: str) -> str:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row for each candidate. Texts without a digit or @ are dropped by the scan and never reach Python."""
+    """One row for each candidate. Texts without a digit, @ or secret's name are dropped by the scan and never reach Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda s: xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -145,7 +149,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], list(out))
 
     rows = require(docs, {"doc_id": T.LongType(), "text": T.StringType()})
-    return rows.where(F.col("text").rlike("[0-9@]")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, OCCURRENCE)
+    return rows.where(F.col("text").rlike(SUSPECT)).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, OCCURRENCE)
 
 
 def score(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -184,7 +188,7 @@ def mask(docs: DataFrame) -> DataFrame:
     spans = cut(spans, "spans")
     if spans.count() <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
-    suspect = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
+    suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
     risky = docs.where(suspect).withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
     joined = risky.join(spans, (F.col("__text_hash") == F.col("__hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left")
     # from one span to the next: what lies before it, then its type

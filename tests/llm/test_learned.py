@@ -165,3 +165,11 @@ def test_shape_alone_makes_no_card(spark):
     assert sorted(r["doc_id"] for r in found) == list(range(0, 60, 2)) and {r["type"] for r in found} == {"card"}
     tokens = [(i, f'token = "{rng.getrandbits(128):032x}"') for i in range(20)] + [(100 + i, f"{prose(i, 9)} {rng.getrandbits(128):032x} {prose(i + 900, 9)}") for i in range(5)]
     assert {r["doc_id"] for r in op9_pii.find(docs(spark, tokens)).collect()} == set(range(20))
+
+
+def test_credentials_assigned_without_blanks(spark):
+    value, letters, padded = "wJalrXUtnFEMIbKDENGbPxRfiCY9EXAMPLE1", "correcthorsebatterystaple", "aGVsbG8gd29ybGQhISEhIQ=="
+    texts = [f"AWS_SECRET_ACCESS_KEY={value}", f"export password={letters}\n", f'token = "{letters}"', f"api_key={padded} and more", f"https://example.org/?user=me&token={value}&x=y", f"see {letters} here", f"NAME={value}"]
+    found = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["end"]] for r in op9_pii.find(docs(spark, list(enumerate(texts)))).collect() if r["type"] == "credential"}
+    assert found == {0: value, 1: letters, 2: letters, 3: padded, 4: value}
+    assert dict(rows(op9_pii.mask(docs(spark, list(enumerate(texts)))).select("doc_id", "text")))[1] == "export password=<CREDENTIAL>\n"
