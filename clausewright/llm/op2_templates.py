@@ -1,14 +1,16 @@
 """HTML extraction with site template removal.
 
-Each block element of a page is hashed with all it holds (tag, id, class, children, text). Spark counts in how many pages of a host
-each hash occurs; an element that occurs in ``MIN_PAGES`` pages or more, and in ``SHARE`` of the host's pages or more, is template
-and is deleted with its subtree. What is left gives the text: one line for each block, entities resolved, scripts, styles and the
+Each block element of a page is hashed with all it holds (tag, id, class, children, text). Spark counts in how many distinct pages
+of a host each hash occurs (pages of equal html count once). An element of the page's frame is template, and is deleted with its
+subtree, if it occurs in ``MIN_PAGES`` pages or more and in ``SHARE`` of the host's pages or more: hosts have many layouts. Frame
+is what stands outside article and main: ``FRAME`` elements, and on pages that have an article or main also the other blocks that
+don't hold it. All else is content: titles, paragraphs, cells and articles recur by chance or by copying, so ``CONTENT_SHARE`` of
+the host's pages is asked there. Equal elements of frame and content are told apart. What is left gives the text: one line for each block, entities resolved, scripts, styles and the
 head left out.
 
 Defined results
 * null or empty html: empty text, nothing removed; null or malformed url: host null, and no template is ever removed there;
-* null ``page_id``: extracted like any other; repeated rows count as pages of their own, so a page repeated ``MIN_PAGES`` times on a
-  small host is its own template; elements that are never closed end with their parent, stray end tags are ignored;
+* null ``page_id``: extracted like any other; rows that repeat a page of a host are extracted each, and counted once; elements that are never closed end with their parent, stray end tags are ignored;
 * extra columns are ignored; an empty table gives no rows.
 """
 
@@ -28,10 +30,12 @@ from pyspark.sql import types as T
 from clausewright.llm import textvec
 from clausewright.session import cut, require
 
-MIN_PAGES, SHARE = 5, 0.01
+MIN_PAGES, SHARE, CONTENT_SHARE = 5, 0.01, 0.5
 #: Template hashes are sent to the workers up to this number (16 MB); more are joined to the pages by host.
 BROADCAST_HASHES = 2_000_000
 BLOCKS = frozenset("address article aside blockquote dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
+FRAME = frozenset("nav footer header aside menu form dialog address".split())
+BODIES = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style noscript template svg iframe".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -39,14 +43,17 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|te
 _ATTRIBUTE = re.compile(r"""\b(id|class)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
 SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("host", T.StringType()), T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType()), T.StructField("chars_removed", T.IntegerType())])
-_HASHES = T.StructType([T.StructField("host", T.StringType()), T.StructField("hash", T.LongType())])
+_HASHES = T.StructType([T.StructField("host", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("content", T.BooleanType()), T.StructField("page", T.LongType())])
+#: Keys of content elements are their hashes changed by this.
+_CONTENT = 0x9E3779B97F4A7C15
 
 
 class Node:
-    __slots__ = ("children", "hash", "mark", "tag")
+    __slots__ = ("body", "children", "hash", "mark", "tag")
 
     def __init__(self, tag: str, mark: str):
         self.tag, self.mark, self.children, self.hash = tag, mark, [], 0
+        self.body = tag in BODIES  # whether it is an article or main, or holds one
 
 
 def _close(node: Node) -> None:
@@ -54,6 +61,7 @@ def _close(node: Node) -> None:
     for child in node.children:
         h.update(child if isinstance(child, str) else child.hash.to_bytes(8, "little"))
         h.update("\x00")
+        node.body |= not isinstance(child, str) and child.body
     node.hash = h.intdigest()
 
 
@@ -107,15 +115,26 @@ def parse(source: str) -> Node:
     return root
 
 
-def block_hashes(root: Node) -> set[int]:
-    """Hashes of all block elements that hold something."""
-    found, todo = set(), [root]
+def _content(node: Node, inside: bool, split: bool) -> bool:
+    """Whether a block is content. ``inside``: in an article or main; ``split``: its page has one."""
+    return inside or node.body or not (split or node.tag in FRAME)
+
+
+def _key(node: Node, content: bool) -> int:
+    return node.hash ^ _CONTENT if content else node.hash
+
+
+def block_hashes(root: Node) -> dict[int, bool]:
+    """Keys of all block elements that hold something, and whether they are content."""
+    found, todo = {}, [(root, False)]
     while todo:
-        for child in todo.pop().children:
+        node, inside = todo.pop()
+        for child in node.children:
             if not isinstance(child, str):
                 if child.tag in BLOCKS and child.children:
-                    found.add(child.hash)
-                todo.append(child)
+                    content = _content(child, inside, root.body)
+                    found[_key(child, content)] = content
+                todo.append((child, inside or child.tag in BODIES))
     return found
 
 
@@ -123,22 +142,23 @@ def _gather(root: Node, template: set[int] | frozenset[int]) -> tuple[list[str],
     kept: list[str] = []
     gone: list[str] = []
     removed = 0
-    todo: list[tuple[object, list[str]]] = [(root, kept)]
+    todo: list[tuple[object, list[str], bool]] = [(root, kept, False)]
     while todo:
-        item, out = todo.pop()
+        item, out, inside = todo.pop()
         if isinstance(item, str):
             out.append(item)
             continue
         if item.tag in SILENT:
             continue
-        if out is kept and item.tag in BLOCKS and item.children and item.hash in template:
+        if out is kept and item.tag in BLOCKS and item.children and _key(item, _content(item, inside, root.body)) in template:
             removed += 1
             out = gone
         edge = "\n" if item.tag in BLOCKS or item.tag == "br" else ""
         if edge:
             out.append(edge)
-            todo.append((edge, out))
-        todo += [(child, out) for child in reversed(item.children)]
+            todo.append((edge, out, inside))
+        inside = inside or item.tag in BODIES
+        todo += [(child, out, inside) for child in reversed(item.children)]
     return kept, removed, gone
 
 
@@ -167,17 +187,20 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textvec.sliced(batches):
-            hosts, hashes = [], []
-            for host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hosts, hashes, content, marks = [], [], [], []
+            for host, source, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = block_hashes(parse(source))
                 hosts += [host] * len(found)
                 hashes += map(_signed, found)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
-
-    used = pages.where("host IS NOT NULL AND html IS NOT NULL").select("host", "html")
-    counts = used.mapInArrow(run, _HASHES).groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    totals = pages.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("total"))
-    return counts.join(totals, "host").where(F.col("pages") >= share * F.col("total")).select("host", "hash")
+                content += found.values()
+                marks += [page] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(content, pa.bool_()), pa.array(marks, pa.int64())], _HASHES.names)
+
+    used = pages.where("host IS NOT NULL AND html IS NOT NULL").select("host", "html", F.xxhash64("html").alias("page"))
+    counts = used.mapInArrow(run, _HASHES).groupBy("host", "hash", "content").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= min_pages)
+    totals = used.groupBy("host").agg(F.count_distinct("page").alias("total"))
+    least = F.when(F.col("content"), F.greatest(F.lit(share), F.lit(CONTENT_SHARE))).otherwise(F.lit(share))
+    return counts.join(totals, "host").where(F.col("pages") >= least * F.col("total")).select("host", "hash")
 
 
 def strip(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:

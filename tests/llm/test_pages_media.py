@@ -81,3 +81,15 @@ def test_shots(spark, with_index):
 def test_steady_film_has_one_shot():
     film, _ = _film([50], 30)
     assert len(op3_media.clips(film)) == 1
+
+
+def test_recurring_content_stays(spark):
+    """A title on 6 of 60 pages, an article copied to 6 and pages repeated 6 times are content; a navigation of 6 pages is not."""
+    def page(k: int, h1: str, body: str) -> str:
+        return f"<body><nav><ul><li>Menu {k % 10}</ul></nav><article><h1>{h1}</h1><p>{body}</p></article></body>"
+
+    data = [(k, f"https://a.example/{k}", page(k, "Same title" if k < 6 else prose(k, 5), prose(k + 100 if not 6 <= k < 12 else 1, 20))) for k in range(60)]
+    data += [(100 + k, f"https://b.example/{k}", "<body><p>One page</p></body>") for k in range(6)]
+    found = {r["page_id"]: r["text"] for r in op2_templates.strip(spark.createDataFrame(data, PAGES)).collect()}
+    assert all(found[k].startswith("Same title\n") for k in range(6)) and all(found[k].endswith(prose(1, 20)) for k in range(6, 12))
+    assert not any("Menu" in t for t in found.values()) and all(found[100 + k] == "One page" for k in range(6))
