@@ -1,7 +1,7 @@
 """Media columns: AVI motion-JPEG files in a binary column become timed clip rows.
 
-The RIFF structure gives the frame rate and the place of each frame: from the ``idx1`` index, else from OpenDML ``ix##`` indexes,
-else by walking the ``movi`` list. Each intra frame is decoded; its histogram (32 soft bins of luma, 8 of each chroma) is compared with
+The RIFF structure gives the frame rate and the place of each frame: from the ``idx1`` index for the first RIFF
+segment; for the others, or without it, from OpenDML ``ix##`` indexes, else by walking the ``movi`` list. Each intra frame is decoded; its histogram (32 soft bins of luma, 8 of each chroma) is compared with
 that of the frame before it. A shot ends where the difference (half the L1 distance) is ``FLOOR`` or more, the largest within
 ``RADIUS`` frames, and more than ``RATIO`` times the mean of the other differences within ``RADIUS`` frames.
 
@@ -89,23 +89,24 @@ def index(data: bytes) -> tuple[float, list[tuple[int, int]]]:
             if data[base + o : base + o + 4] not in ids and data[o : o + 4] in ids:
                 base = 0
             frames = [(base + o + 8, base + o + 8 + n) for o, n in mine]
-    if not frames:
-        for s, e in movies:
-            for name, a, b in chunks(data, s, e):
-                if name == b"ix%02d" % stream and b - a >= 24:
-                    base = int.from_bytes(data[a + 12 : a + 20], "little")
-                    frames += [(base + _u32(data, i), base + _u32(data, i) + (_u32(data, i + 4) & 0x7FFFFFFF)) for i in range(a + 24, min(b - 7, a + 24 + 8 * _u32(data, a + 4)), 8)]
-    if not frames:
-        todo = list(movies)
+    # idx1 covers the first RIFF segment only; each other movi list has ix## indexes of its own, or is walked
+    for s, e in movies[bool(frames) :]:
+        found: list[tuple[int, int]] = []
+        for name, a, b in chunks(data, s, e):
+            if name == b"ix%02d" % stream and b - a >= 24:
+                base = int.from_bytes(data[a + 12 : a + 20], "little")
+                found += [(base + _u32(data, i), base + _u32(data, i) + (_u32(data, i + 4) & 0x7FFFFFFF)) for i in range(a + 24, min(b - 7, a + 24 + 8 * _u32(data, a + 4)), 8)]
+        todo = [] if found else [(s, e)]
         while todo:
             s, e = todo.pop(0)
             inner = []
             for name, a, b in chunks(data, s, e):
                 if name in ids:
-                    frames.append((a, b))
+                    found.append((a, b))
                 elif name == b"LIST":
                     inner.append((a + 4, b))
             todo = inner + todo
+        frames += found
     if not frames:
         raise BadFile("no frames")
     return rate, frames

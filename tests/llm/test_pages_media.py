@@ -93,3 +93,20 @@ def test_recurring_content_stays(spark):
     found = {r["page_id"]: r["text"] for r in op2_templates.strip(spark.createDataFrame(data, PAGES)).collect()}
     assert all(found[k].startswith("Same title\n") for k in range(6)) and all(found[k].endswith(prose(1, 20)) for k in range(6, 12))
     assert not any("Menu" in t for t in found.values()) and all(found[100 + k] == "One page" for k in range(6))
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_frames_of_a_later_segment(indexed):
+    film, frames = _film([20], 5)
+    more, words = [jpeg.encode_grey(np.full((16, 24), 200 + k, np.uint8)) for k in range(4)], lambda *v: b"".join(x.to_bytes(4, "little") for x in v)
+    movi, places = b"movi", b""
+    for f in more:
+        places += words(len(movi) + 8, len(f))
+        movi += b"00dc" + words(len(f)) + f + b"\0" * (len(f) & 1)
+    if indexed:
+        body = words(2) + words(len(more)) + b"00dc" + (len(film) + 20).to_bytes(8, "little") + words(0) + places
+        movi += b"ix00" + words(len(body)) + body
+    avix = b"AVIX" + b"LIST" + words(len(movi)) + movi
+    _, places = op3_media.index(film + b"RIFF" + words(len(avix)) + avix)
+    assert [(film + b"RIFF" + words(len(avix)) + avix)[a:b] for a, b in places] == frames + more
+    assert len(op3_media.clips(film + b"RIFF" + words(len(avix)) + avix)) == 2
