@@ -25,11 +25,11 @@ def test_successors(steps):
     assert tree.successor(5000) == -1
 
 
-def _plain_best_fit(items, capacity, per_source):
+def _plain_best_fit(items, capacity, limits):
     bins = []  # [room, clusters, sources, when its room last changed]
     out = []
     for clock, (size, cluster, source) in enumerate(items):
-        fits = [b for b in bins if b[0] >= size and (cluster < 0 or cluster not in b[1]) and b[2][source] < per_source]
+        fits = [b for b in bins if b[0] >= size and (cluster < 0 or cluster not in b[1]) and b[2][source] < limits[source]]
         if not fits:
             bins.append([capacity, set(), Counter(), 0])
         b = min(fits, key=lambda b: (b[0], b[3])) if fits else bins[-1]
@@ -41,12 +41,47 @@ def _plain_best_fit(items, capacity, per_source):
     return out
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(1, 20), st.integers(-1, 5), st.integers(0, 2)), max_size=60), st.integers(1, 4))
-def test_best_fit_against_plain(items, per_source):
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 20), st.integers(-1, 5), st.integers(0, 2)), min_size=1, max_size=60), st.lists(st.integers(1, 4), min_size=3, max_size=3), st.sampled_from([0.01, 0.3, 1.1]))
+def test_best_fit_against_plain(items, limits, hot):
     items.sort(key=lambda x: -x[0])
-    bins, offsets = op7_packing.best_fit(*(zip(*items, strict=True) if items else ((), (), ())), 20, per_source)
-    assert list(zip(bins, offsets, strict=True)) == _plain_best_fit(items, 20, per_source)
+    bins, offsets = op7_packing.best_fit(*map(list, zip(*items, strict=True)), 20, limits, hot)
+    assert list(zip(bins, offsets, strict=True)) == _plain_best_fit(items, 20, limits)
+
+
+@pytest.mark.parametrize("source", [lambda i: "only", lambda i: "big" if i % 3 else f"s{i}"])
+def test_hot_source_fills_its_bins(spark, source):
+    data = [(i, prose(i, 5 + i % 7), source(i)) for i in range(1500)]
+    found = op7_packing.pack(docs(spark, data), capacity=512).collect()
+    assert sum(r["words"] for r in found) / (512 * len({r["bin_id"] for r in found})) > 0.9
+
+
+def test_one_source_takes_linear_time():
+    def visited(n):
+        calls = 0
+        find = op7_packing.Bins.find
+
+        def counted(self, size, fits):
+            def count(b):
+                nonlocal calls
+                calls += 1
+                return fits(b)
+
+            return find(self, size, count)
+
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(op7_packing.Bins, "find", counted)
+            op7_packing.best_fit([7] * n, [0] * (n // 3) + [-1] * (n - n // 3), [0] * n, 100, [2])
+        return calls
+
+    assert visited(2000) <= 2.2 * visited(1000)
+
+
+def test_null_and_heavy_ids_are_spread(spark):
+    data = [(None, prose(i, 20)) for i in range(300)] + [(7, prose(1000 + i, 20)) for i in range(300)] + [(1000 + i, prose(2000 + i, 20)) for i in range(100)]
+    found = op7_packing.pack(docs(spark, data), capacity=100, shard_pieces=100).collect()
+    assert len(found) == 700
+    assert max(Counter(r["bin_id"] >> 32 for r in found).values()) < 160
 
 
 def test_pack_covers_every_word_and_keeps_constraints(spark):
