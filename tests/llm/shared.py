@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use for themselves.
-EXTRA = ["key", "id", "f0", "group_id", "words", "block", "turn", "rank", "score", "label", "start", "end", "__gone", "instance", "size", "shard", "total"]
+EXTRA = ["key", "id", "f0", "group_id", "words", "block", "turn", "rank", "score", "label", "start", "end", "__gone", "instance", "size", "shard", "total", "width", "room", "row", "pass", "__pass", "__block", "__s", "__id", "__spans", "salt", "piece", "cluster", "quota", "upto", "t", "d"]
 
 
 def prose(seed: int, n: int) -> str:

@@ -29,10 +29,11 @@ def operators(spark, licence_model):
         "identifiers": (op9_pii.find, 0),
         "mask": (op9_pii.mask, 11),
         "mixing": (op10_mixing.mix, None),
+        "drawn": (op10_mixing.drawn, None),
     }
 
 
-NAMES = ["quality", "keep_good", "secrets", "licences", "groups", "drop_copies", "packing", "sharding", "identifiers", "mask", "mixing"]
+NAMES = ["quality", "keep_good", "secrets", "licences", "groups", "drop_copies", "packing", "sharding", "identifiers", "mask", "mixing", "drawn"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -56,7 +57,7 @@ def test_empty_table(spark, operators, name):
 def test_only_nulls(spark, operators, name):
     f, _ = operators[name]
     none = spark.createDataFrame([(None,) * 5, (None,) * 5], DOCS)
-    kept = {"quality": 2, "keep_good": 2, "groups": 2, "drop_copies": 2, "packing": 2, "sharding": 2, "mask": 2, "mixing": 2}
+    kept = {"quality": 2, "keep_good": 2, "groups": 2, "drop_copies": 2, "packing": 2, "sharding": 2, "mask": 2, "mixing": 2, "drawn": 2}
     assert len(rows(f(none))) == kept.get(name, 0)
 
 

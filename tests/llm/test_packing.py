@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from clausewright.llm import op7_packing, op8_sharding, op10_mixing
 from clausewright.llm.balanced import Successors
 
-from .shared import docs, prose
+from .shared import docs, prose, rows, with_extra
 
 
 @settings(max_examples=60, deadline=None)
@@ -184,3 +184,65 @@ def test_mix_meets_budget(spark):
     half = [r for r in found if r["mix_rank"] < 0.5]
     assert abs(sum(size[r["doc_id"]] for r in half) / sum(got.values()) - 0.5) < 0.1
     assert all(0 <= r["mix_rank"] < 1 for r in found)
+
+
+def _hashes(spark, values, *lead):
+    """op10's hash of each tuple of columns, from Spark."""
+    from pyspark.sql import functions as F
+
+    kinds = {str: "string", int: "long", type(None): "string"}
+    schema = ", ".join(f"c{i} {kinds[type(v)]}" for i, v in enumerate(values[0]))
+    df = spark.createDataFrame(values, schema)
+    return [r[0] for r in df.select(op10_mixing._hash(*[F.lit(x) for x in lead], *[F.col(c) for c in df.columns])).collect()]
+
+
+@pytest.mark.parametrize("span", [3, 10_000])
+def test_draw_against_plain(spark, monkeypatch, span):
+    monkeypatch.setattr(op10_mixing.prefix_sums, "__defaults__", (span,))
+    rng = random.Random(3)
+    data = [(i, prose(i, rng.randint(1, 40)), rng.choice(["a", "a", "a", "b", "c"])) for i in range(400)] + [(900, "", "a"), (901, None, "b")]
+    size = {i: len((t or "").split()) for i, t, _ in data}
+    total = Counter()
+    for i, _, s in data:
+        total[s] += size[i]
+    total = dict(total)
+    budget, per_block = sum(total.values()) * 3 // 2, 100
+    quota = op10_mixing.quotas(total, op10_mixing.weights(total, budget)[1], budget)
+    place = dict(zip([i for i, *_ in data], _hashes(spark, [(i, s) for i, _, s in data]), strict=True))
+    torn = dict(zip([i for i, *_ in data], _hashes(spark, [(i,) for i, *_ in data], "torn"), strict=True))
+    expected = Counter()
+    for s, n in total.items():
+        blocks, full = max(1, -(-n // per_block)), quota[s] // n
+        of = defaultdict(list)
+        for i, _, source in data:
+            if source == s:
+                of[place[i] % blocks].append(i)
+        for turn in range(full):
+            expected.update((i, turn) for ids in of.values() for i in ids)
+        room = quota[s] - full * n
+        order = _hashes(spark, [(s, full, b) for b in sorted(of)], "order")
+        for _, b in sorted(((h % 2**64) >> 12, b) for h, b in zip(order, sorted(of), strict=True)):
+            if room <= 0:
+                break
+            words = sum(size[i] for i in of[b])
+            if words <= room:
+                expected.update((i, full) for i in of[b])
+            else:
+                left = room
+                for i in sorted(of[b], key=lambda i: (torn[i], i)):
+                    left -= size[i]
+                    if left < 0:
+                        break
+                    expected[i, full] += 1
+            room -= words
+    found = op10_mixing.mix(docs(spark, data), budget=budget, block_words=per_block).collect()
+    assert Counter((r["doc_id"], r["pass"]) for r in found) == expected
+
+
+def test_drawn_rows_keep_clashing_columns(spark):
+    data = docs(spark, [(i, prose(i, 20), "s") for i in range(40)] + [(None, prose(50 + i, 20), "s") for i in range(40)])
+    wide = with_extra(data)
+    found = op10_mixing.drawn(wide, block_words=100)
+    assert found.columns == wide.columns and found.count() == 80
+    assert rows(found.select("doc_id", "text")) == rows(data.select("doc_id", "text"))
+    assert len({r["block"] for r in op10_mixing.mix(data, block_words=100).where("doc_id IS NULL").collect()}) > 5
