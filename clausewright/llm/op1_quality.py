@@ -3,7 +3,8 @@
 Defined results
 * null or empty text, or text without features: scored by the bias alone, so by the share of good rows among the labels;
 * null ``doc_id``: scored like any other row; repeated rows: each is scored, with equal results;
-* labels that are null, name no document or are not 0 or 1 are not used; several labels of one document: all are used;
+* labels that are null, name no document of the table or are not 0 or 1 are not used, nor counted; a document that is labelled
+  both 0 and 1 is a sample of both; of several texts under one id the least is the sample;
 * no labels of one of the classes (or none at all): every document gets ``p_quality`` 1.0 where no bad label exists and 0.0
   where no good label exists (1.0 where there are none), with that score's verdict;
 * extra columns, whatever their names, are ignored; an empty table gives no rows.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clausewright.llm import linear, textvec
-from clausewright.session import require
+from clausewright.session import cut, require
 
 DIMS = 1 << 18
 CHARS = (2, 4)
@@ -87,18 +88,20 @@ def scores(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndar
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> tuple[list[str | None], np.ndarray, dict[int, int]]:
-    """At most ``per_class`` labelled texts of each class, chosen by a hash of ``doc_id``, and the classes' counts among all labels."""
-    known = require(labels, {"doc_id": T.LongType(), "quality": T.IntegerType()}).where("doc_id IS NOT NULL AND quality IN (0, 1)")
+    """At most ``per_class`` labelled texts of each class, chosen by a hash of ``doc_id``, and the classes' counts among the labels
+    of documents that are there. Of several texts under one id the least in string order is taken."""
+    known = require(labels, {"doc_id": T.LongType(), "quality": T.IntegerType()}).where("doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
+    texts = require(docs, {"doc_id": T.LongType(), "text": T.StringType()})
+    known = cut(known.join(texts.select("doc_id"), "doc_id", "left_semi"), "labels")
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id", F.lit(17))
     chosen = None
     for q in (0, 1):
-        part = known.where(F.col("quality") == q).distinct().orderBy(order, "doc_id").limit(per_class)
+        part = known.where(F.col("quality") == q).orderBy(order, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = require(docs, {"doc_id": T.LongType(), "text": T.StringType()})
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").toPandas()  # 2 * per_class rows, at most
-    found = found.sort_values(["doc_id", "quality"], kind="stable").drop_duplicates(["doc_id", "quality"])
-    return [t if isinstance(t, str) else "" for t in found["text"]], found["quality"].to_numpy(int), counts
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    found = found.toPandas().sort_values(["doc_id", "quality"])  # 2 * per_class rows, at most
+    return found["text"].tolist(), found["quality"].to_numpy(int), counts
 
 
 def train(texts: list[str | None], quality: np.ndarray, counts: dict[int, int], steps: int = 60) -> Model:
