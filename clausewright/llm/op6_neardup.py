@@ -14,7 +14,8 @@ coordinate, so that only rows whose first coordinates lie within ``RADIUS`` are
 Defined results
 * null text counts as empty; texts without any word are never duplicates of anything: each is a group of its own;
 * null ``doc_id``: the row is kept out of the search and reported with null group, ``keep`` true;
-* rows that repeat a ``doc_id`` are one group: each row is reported, ``keep`` tells whether the id stays;
+* rows that repeat a ``doc_id`` are one group: each row is reported, ``keep`` tells whether the id stays; ``drop_copies`` keeps
+  the one of the least text hash;
 * ties: the smallest ``doc_id`` of a group stays; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -222,7 +223,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id stays; one row of those that repeat an id with words in its text."""
+    """The rows of ``docs``, with all their columns, whose id stays; of those that repeat an id one, that of the least text hash
+    (null text last; rows equal in id and text are told apart by the hash of all their columns)."""
     decided = cut(groups(docs), "groups")
     gone = cut(decided.where("NOT keep").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
@@ -233,4 +235,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
         return left
     once = left.join(repeated, left["doc_id"] == repeated["__again"], "left_anti")
     many = left.join(repeated, left["doc_id"] == repeated["__again"], "left_semi")
-    return once.unionByName(many.dropDuplicates(["doc_id"]))
+    # the row is one struct, so that no name of its columns meets ours; max_by keeps one row an id, on both sides of the shuffle
+    rank = F.struct(F.coalesce(F.xxhash64(F.col("row.text").cast("string")), F.lit(2**63 - 1)), F.xxhash64("row"))
+    least = many.select(F.struct(*[many[c] for c in docs.columns]).alias("row")).groupBy(F.col("row.doc_id").alias("id")).agg(F.min_by("row", rank).alias("row"))
+    return once.unionByName(least.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
