@@ -1,5 +1,6 @@
 """Packing, sharding and mixing against plain greedy versions."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -246,3 +247,31 @@ def test_drawn_rows_keep_clashing_columns(spark):
     assert found.columns == wide.columns and found.count() == 80
     assert rows(found.select("doc_id", "text")) == rows(data.select("doc_id", "text"))
     assert len({r["block"] for r in op10_mixing.mix(data, block_words=100).where("doc_id IS NULL").collect()}) > 5
+
+
+@pytest.mark.parametrize("span, hot", [(50_000, 10_000), (3, 2), (1, 10_000)])
+def test_shard_against_plain(spark, monkeypatch, span, hot):
+    monkeypatch.setattr(op8_sharding, "HOT_ROWS", hot)
+    data = [(i, prose(i % 50, 3 + i % 9)) for i in range(160)] + [(500 + i, f"same size {i:02}") for i in range(40)] + [(900, "x" * 700), (901, None), (902, ""), (903, None)]
+    size, text = Counter(), {}
+    for _, t in data:
+        g = "null" if t is None else hashlib.md5(t.encode()).hexdigest()
+        size[g] += len((t or "").encode())
+        text[g] = t
+    rooms, expected = [], {}
+    for g in sorted(size, key=lambda g: (-(-(-size[g] // 16)), g)):
+        units = -(-size[g] // 16)
+        fits = [k for k, room in enumerate(rooms) if room >= units]
+        if units > 32:
+            rooms.append(0)
+            expected[g] = len(rooms) - 1
+        elif not units:
+            expected[g] = 0
+        else:
+            k = min(fits, key=lambda k: (rooms[k], k)) if fits else len(rooms)
+            rooms += [] if fits else [32]
+            rooms[k] -= units
+            expected[g] = k
+    found = op8_sharding.shard(docs(spark, data), capacity=512, span=span).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(i for i, *_ in data)
+    assert {r["group_id"]: (r["group_bytes"], r["shard_id"]) for r in found} == {g: (size[g], expected[g]) for g in size}
