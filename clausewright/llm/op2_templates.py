@@ -10,7 +10,9 @@ head left out.
 
 Defined results
 * null or empty html: empty text, nothing removed; null or malformed url: host null, and no template is ever removed there;
-* null ``page_id``: extracted like any other; rows that repeat a page of a host are extracted each, and counted once; elements that are never closed end with their parent, stray end tags are ignored;
+* null ``page_id``: extracted like any other; rows that repeat a page of a host are extracted each, and counted once; elements that are never closed end with their parent, stray end tags are ignored; a ``<`` that begins no
+  tag or has no ``>`` is text; after a tag whose quotes are never closed quotes have no meaning; pages are read in time linear in
+  their length, however malformed;
 * extra columns are ignored; an empty table gives no rows.
 """
 
@@ -18,7 +20,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +43,16 @@ BODIES = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style noscript template svg iframe".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+RAW = frozenset("script style textarea title noscript template svg iframe".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"""\b(id|class)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_STOP = re.compile(r"[>\"']")
 _SPACE = re.compile(r"\s+")
 SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("host", T.StringType()), T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType()), T.StructField("chars_removed", T.IntegerType())])
 _HASHES = T.StructType([T.StructField("host", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("content", T.BooleanType()), T.StructField("page", T.LongType())])
+#: Html of a host that one task takes when hashes are joined; hosts above it are broadcast up to this number.
+SLICE_BYTES, BROADCAST_HOSTS = 64 << 20, 500_000
 #: Keys of content elements are their hashes changed by this.
 _CONTENT = 0x9E3779B97F4A7C15
 
@@ -65,10 +74,56 @@ def _close(node: Node) -> None:
     node.hash = h.intdigest()
 
 
+def _tags(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of what isn't text, in order; the name is empty for comments, declarations and
+    elements whose text is not content. One pass: nothing is looked for again beyond a place where it was found missing."""
+    at, last, quoted = 0, source.rfind(">"), True
+    while True:
+        lt = source.find("<", at)
+        if lt < 0:
+            return
+        at = lt + 1
+        following = source[at : at + 1]
+        if source.startswith("<!--", lt):
+            end = source.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else len(source)
+            yield lt, at, "", False, ""
+            continue
+        if lt > last:
+            continue  # no tag ends beyond here; comments may still begin
+        if following in ("!", "?"):
+            at = source.index(">", at) + 1
+            yield lt, at, "", False, ""
+            continue
+        closing = following == "/"
+        name = _NAME.match(source, at + closing)
+        if not name:
+            continue
+        end, tag = name.end(), name[0].lower()
+        if quoted:  # the tag ends at the first > outside of quotes
+            while (m := _STOP.search(source, end)) and m[0] != ">":
+                close = source.find(m[0], m.end())
+                end = close + 1 if close >= 0 else len(source)
+            if m:
+                end = m.start()
+            else:
+                quoted = False  # a quote is never closed: from here on quotes have no meaning
+        if not quoted:
+            end = source.index(">", name.end())
+        at = end + 1
+        if tag in RAW and not closing:
+            m = _RAW_END[tag].search(source, at)
+            at = m.end() if m else len(source)
+            yield lt, at, "", False, ""
+        else:
+            yield lt, at, tag, closing, source[name.end() : end]
+
+
 def parse(source: str) -> Node:
     """The tree of a page: children are nodes and strings of white-space-normalised text. Hashes are set from the leaves up."""
     root = Node("", "")
     stack = [root]
+    opened: Counter[str] = Counter()
     at = 0
 
     def text(upto: int) -> None:
@@ -79,36 +134,36 @@ def parse(source: str) -> Node:
 
     def pop(n: int) -> None:
         while len(stack) > n:
+            opened[stack[-1].tag] -= 1
             _close(stack.pop())
 
-    for m in _TOKEN.finditer(source):
-        text(m.start())
-        at = m.end()
-        if not m[3]:
-            continue  # comments, declarations and elements whose text is not content
-        tag = m[3].lower()
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop(k)
-                    break
+    def upto(tag: str) -> None:
+        """Ends the innermost open element of this name, and what is open inside."""
+        if opened[tag] > 0:
+            k = len(stack) - 1
+            while stack[k].tag != tag:
+                k -= 1
+            pop(k)
+
+    for start, end, tag, closing, attributes in _tags(source):
+        text(start)
+        at = end
+        if not tag:
+            continue
+        if closing:
+            upto(tag)
             continue
-        closes = _CLOSED_BY.get(tag)
-        if tag in BLOCKS:  # a block ends an open paragraph, if no other block lies between
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    pop(k)
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        if closes and stack[-1].tag in closes:
+        if tag in BLOCKS:  # a block ends an open paragraph; there is one at most, and no other block lies inside it
+            upto("p")
+        if stack[-1].tag in _CLOSED_BY.get(tag, ()):
             pop(len(stack) - 1)
-        marks = "".join(sorted(f" {k.lower()}={v.strip(chr(34) + chr(39))}" for k, v in _ATTRIBUTE.findall(m[4]))) if m[4] else ""
+        marks = "".join(sorted(f" {k.lower()}={v.strip(chr(34) + chr(39))}" for k, v in _ATTRIBUTE.findall(attributes))) if attributes else ""
         node = Node(tag, tag + marks)
         stack[-1].children.append(node)
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             _close(node)
         else:
+            opened[tag] += 1
             stack.append(node)
     text(len(source))
     pop(0)
@@ -228,10 +283,28 @@ def strip(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) ->
 
         return pages.mapInArrow(narrow, SCHEMA)
 
-    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # pages and hashes of a host meet in slices of about SLICE_BYTES of html; each hash is sent once to each slice of its host
+    bytes_of = pages.where("host IS NOT NULL").groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes"))
+    large = cut(bytes_of.where(F.col("bytes") > SLICE_BYTES).select(F.col("host").alias("of"), F.ceil(F.col("bytes") / SLICE_BYTES).alias("slices")), "large-hosts")
+    if large.count() <= BROADCAST_HOSTS:
+        large = F.broadcast(large)
+    n = F.coalesce("slices", F.lit(1))
+    row = F.xxhash64(F.monotonically_increasing_id())
+    left = pages.withColumn("row", row).where("host IS NOT NULL").join(large, F.col("host") == F.col("of"), "left").select("page_id", "host", "html", F.pmod("row", n).alias("slice"))
+    right = found.join(large, F.col("host") == F.col("of"), "left").select("host", "hash", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("slice"))
+
+    def wide(pages: pa.Table, hashes: pa.Table) -> pa.Table:
+        known = frozenset(h + (1 << 64) if h < 0 else h for h in hashes.column("hash").to_pylist())
+        done = []
+        for batch in textvec.sliced(iter(pages.to_batches())):
+            ids, hosts, sources = (batch.column(c).to_pylist() for c in ("page_id", "host", "html"))
+            done.append(rows(ids, hosts, sources, repeat(known, len(ids))))
+        return pa.Table.from_batches(done) if done else pa.Table.from_batches([rows([], [], [], iter(()))])
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textvec.sliced(batches):
-            ids, hosts, sources, hashes = (c.to_pylist() for c in batch.columns)
-            yield rows(ids, hosts, sources, (frozenset(h + (1 << 64) if h < 0 else h for h in x or ()) for x in hashes))
+            ids, hosts, sources = (c.to_pylist() for c in batch.columns)
+            yield rows(ids, hosts, sources, repeat(frozenset(), len(ids)))
 
-    lists = found.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
-    return pages.join(lists, "host", "left").select("page_id", "host", "html", "hashes").mapInArrow(wide, SCHEMA)
+    stripped = left.groupBy("host", "slice").cogroup(right.groupBy("host", "slice")).applyInArrow(wide, SCHEMA)
+    return stripped.unionByName(pages.where("host IS NULL").mapInArrow(plain, SCHEMA))

@@ -1,5 +1,8 @@
 """Template removal and motion-JPEG clips."""
 
+import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -44,10 +47,40 @@ def test_wide_way_gives_the_same(spark, monkeypatch):
     assert rows(op2_templates.strip(pages)) == narrow
 
 
+def test_wide_way_slices_hosts(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"https://{'a' if k < 30 else 'b'}.example/{k}", _page("a", k)) for k in range(40)] + [(None, None, _page("a", 1)), (90, "https://c.example", None)], PAGES)
+    narrow = rows(op2_templates.strip(pages))
+    monkeypatch.setattr(op2_templates, "BROADCAST_HASHES", 0)
+    monkeypatch.setattr(op2_templates, "SLICE_BYTES", 2000)
+    assert rows(op2_templates.strip(pages)) == narrow
+
+
 def test_deep_nesting():
     assert op2_templates.extract("<div>" * 20_000 + "x")[0] == "x"
 
 
+#: The same tokens by backtracking, which is plain but slow on malformed pages.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+
+
+def test_tags_against_backtracking():
+    rng = random.Random(4)
+    parts = ["<p>", "</p>", "<div class='a>b' id=x>", "<br/>", "<a href=\"q > r\">", "</a >", "text", " < 3 ", "<!-- c > -->", "<!doctype html>", "<?x y?>", "<script>a<b>c</script>", "<style >p{}</style>", "<b", "a>b", "&amp;", "<LI>", "</UL>", "<svg/>x</svg>", "<3>"]
+    for _ in range(300):
+        source = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) + rng.choice(["", "<!-- open", "<title>open", "<", "<p", "</"])
+        plain = [(m.start(), m.end(), (m[3] or "").lower(), bool(m[2]), m[4] or "") for m in _TOKEN.finditer(source)]
+        assert list(op2_templates._tags(source)) == plain, source
+
+
+@pytest.mark.parametrize("part", ["<script ", "<a '", "<a \"x' ", "<a \">", "<!-", "<!-- ", "<b>", "</i><b>", "<p><b>", "<", "<div id='", "<td class=\"a", "<title>x"])
+def test_malformed_pages_take_linear_time(part):
+    n = (1 << 19) // len(part)
+    began = time.process_time()
+    op2_templates.block_hashes(op2_templates.parse(part * n))
+    op2_templates.extract(part * (n // 2))
+    assert time.process_time() - began < 20  # seconds for 500 kB and half of it; backtracking took hours
+
+
 def _film(tones, per, with_index=True):
     frames = [jpeg.encode_grey(np.full((16, 24), t + k, np.uint8)) for t in tones for k in range(per)]
     return op3_media.write_avi(frames, 24, 16, 10, with_index), frames
