@@ -14,7 +14,9 @@
 
 Defined results
 * null or empty text: no rows; null ``doc_id``: found like any other, with null id; repeated rows: each reports its identifiers;
-* two types of equal score: the first by name; overlapping candidates: the leftmost, in the order of the grammar;
+* two types of equal score: the first by name; overlapping candidates: addresses first, then the leftmost, in the order of the
+  grammar; digits are those of any script; patterns are made of the words within ``CONTEXT`` characters of a candidate, and of
+  the first ``WORD`` characters of each (the candidate itself is never cut);
 * extra columns are ignored (``mask`` keeps them); an empty table gives no rows. Offsets count code points.
 """
 
@@ -41,9 +43,11 @@ PATTERN_MIN, ACCEPT = 0.6, 0.8
 BROADCAST_ROWS = 200_000
 TYPES = ("card", "credential", "email", "ip", "phone")
 
+#: Characters to each side of a candidate that its words are taken from.
+CONTEXT, WORD = 80, 40
+_SIDE = re.compile(r"""[^\s@<>"'|,;()\[\]{}]+""")
 CANDIDATE = re.compile(
-    r"""[^\s@<>"'|,;()\[\]{}]+@[^\s@<>"'|,;()\[\]{}]+"""
-    r"""|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"""
+    r"""(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"""
     r"""|(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?!\w)"""
     r"""|(?<!\w)\d{4}(?:[ -]\d{4}){3}(?!\w)"""
     r"""|[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])|[A-Za-z0-9_+/-]{16,}"""
@@ -57,7 +61,7 @@ _DATE = re.compile(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[ T]\d{1,2}(?::\d{2}){1,2})
 _NAMED = r"(?:api[_-]?key|access[_-]?key|token|secret|passwd|password|auth)[\"']?\s*[:=]"
 _SECRET = re.compile(_NAMED + r"\s*[\"']?$", re.I)
 #: Texts without a match hold no candidate; neither Python nor the masking sees them.
-SUSPECT = "[0-9@]|(?i:" + _NAMED + ")"
+SUSPECT = r"[\p{Nd}@]|(?i:" + _NAMED + ")"
 _STRIP = ".,;:!?*#$%&"
 OCCURRENCE = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("instance", T.LongType()), T.StructField("seed", T.StringType()), T.StructField("masked", T.StringType()), T.StructField("patterns", T.ArrayType(T.LongType()))]
@@ -108,20 +112,45 @@ def _word(text: str, last: bool) -> str:
     if not parts:
         return "^" if last else "$"
     word = parts[-1] if last else parts[0]
-    return re.sub(r"\d+", "0", word.lower())[:40]
+    return re.sub(r"\d+", "0", word.lower())[:WORD]
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """What surrounds each @ up to white space, brackets, quotes and the like; each sign is looked at once or twice."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and _SIDE.match(text[start - 1]):
+            start -= 1
+        right = _SIDE.match(text, at + 1)
+        if start < at and right:
+            yield start, right.end()
+        done = right.end() if start < at and right else at + 1
+        at = text.find("@", done)
+
+
+def _places(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses, and between them all else that could be an identifier."""
+    at = 0
+    for start, end in _addresses(text):
+        yield from (m.span() for m in CANDIDATE.finditer(text, at, start))
+        yield start, end
+        at = end
+    yield from (m.span() for m in CANDIDATE.finditer(text, at))
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, str | None, list[str]]]:
-    """(start, end, value, seed type, patterns) of every candidate, from left to right."""
-    for m in CANDIDATE.finditer(text):
-        value = m[0].strip(_STRIP) if "@" in m[0] else m[0]
+    """(start, end, value, seed type, patterns) of every candidate, from left to right. Linear in the length of the text."""
+    for begin, stop in _places(text):
+        whole = text[begin:stop]
+        value = whole.strip(_STRIP) if "@" in whole else whole
         digits = sum(c.isdigit() for c in value)
-        named = len(value) >= 16 and bool(_SECRET.search(text[max(0, m.start() - 80) : m.start()]))
+        named = len(value) >= 16 and bool(_SECRET.search(text[max(0, begin - CONTEXT) : begin]))
         if not value or ("@" not in value and not named and (digits < 7 if len(value) < 16 or not re.search("[A-Za-z]", value) else digits < 4)) and not re.fullmatch(r"\d+(?:\.\d+){3}", value):
             continue
-        start = m.start() + m[0].index(value)
+        start = begin + whole.index(value)
         end = start + len(value)
-        left, right = text[max(0, start - 80) : start], text[end : end + 80]
+        left, right = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
         form, before, after = shape(value), _word(left, True), _word(right, False)
         kind = form[0] if form[0] in "Lht" else "n"
         previous = _word(left.rstrip()[: len(left.rstrip()) - len(left.split()[-1])], True) if left.split() else "^"
@@ -182,17 +211,41 @@ def find(docs: DataFrame) -> DataFrame:
     return identifiers(docs).drop("text_hash")
 
 
+def masked_text(text: str, spans: list[dict]) -> str:
+    parts, at = [], 0
+    for s in spans:
+        parts += [text[at : s["start"]], "<", s["type"].upper(), ">"]
+        at = s["end"]
+    return "".join([*parts, text[at:]])
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with each identifier in ``text`` replaced by its type in angle brackets; other columns as they are."""
-    spans = identifiers(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end", "type"))).alias("__spans"))
-    spans = cut(spans, "spans")
-    if spans.count() <= BROADCAST_ROWS:
-        spans = F.broadcast(spans)
-    suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
-    risky = docs.where(suspect).withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
-    joined = risky.join(spans, (F.col("__text_hash") == F.col("__hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left")
-    # from one span to the next: what lies before it, then its type
-    cutting = F.aggregate("__spans", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), lambda acc, s: F.struct(F.concat(acc["done"], F.substring(docs["text"], acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["type"]), F.lit(">")).alias("done"), s["end"].alias("at")), lambda acc: F.concat(acc["done"], F.substring(docs["text"], acc["at"] + 1, F.length(docs["text"]))))
-    text = F.when(F.col("__spans").isNull(), docs["text"]).otherwise(cutting)
-    changed = joined.select(*[text.cast(docs.schema["text"].dataType).alias("text") if c == "text" else docs[c] for c in docs.columns])
-    return docs.where(~suspect).unionByName(changed)
+    spans = identifiers(docs).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end", "type"))).alias("spans"))
+    spans = cut(spans, "spans").alias("s")
+    size = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    # columns go by place, so that no name of theirs meets one of ours
+    names, text = [f"c{k}" for k in range(len(docs.columns))], f"c{docs.columns.index('text')}"
+    held = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("of"))
+    if size["n"] + size["spans"] <= BROADCAST_ROWS:
+        spans, rest = F.broadcast(spans), None
+    else:  # only texts that may hold an identifier are shuffled
+        suspect = F.coalesce(F.col("of").rlike(SUSPECT), F.lit(False))
+        held, rest = held.where(suspect), held.where(~suspect)
+    held = held.withColumn("hash", F.xxhash64("of")).alias("d")
+    match = F.expr("d.hash = s.text_hash AND d.id <=> s.doc_id")
+    kinds = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(text)
+        for batch in textvec.sliced(batches):
+            fresh = [masked_text(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            columns = batch.columns[: len(names)]
+            columns[at] = pa.array(fresh, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    changed = held.join(spans, match).select(*names, "spans").mapInArrow(run, kinds)
+    found = held.join(spans, match, "left_anti").select(*names).unionByName(changed)
+    if rest is not None:
+        found = found.unionByName(rest.select(*names))
+    return found.toDF(*docs.columns)

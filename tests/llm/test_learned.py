@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -173,3 +174,43 @@ def test_credentials_assigned_without_blanks(spark):
     found = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["end"]] for r in op9_pii.find(docs(spark, list(enumerate(texts)))).collect() if r["type"] == "credential"}
     assert found == {0: value, 1: letters, 2: letters, 3: padded, 4: value}
     assert dict(rows(op9_pii.mask(docs(spark, list(enumerate(texts)))).select("doc_id", "text")))[1] == "export password=<CREDENTIAL>\n"
+
+
+def _plain_mask(text, found):
+    for start, end, kind in sorted(found, reverse=True):
+        text = f"{text[:start]}<{kind.upper()}>{text[end:]}"
+    return text
+
+
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_mask_against_plain(spark, monkeypatch, limit):
+    monkeypatch.setattr(op9_pii, "BROADCAST_ROWS", limit)
+    data = [(i, f"{prose(i, 8)} mail someone{i}@example.org 🎉 or call +49 (30) 1234 {1000 + i} now; token = \"{'ab12' * 5}{i}\" {prose(i + 1, 5)}") for i in range(30)] + [(40, prose(4, 10)), (None, "é x@y.example"), (41, "a@b.cc " * 2000)]
+    d = docs(spark, data)
+    spans = {}
+    for r in op9_pii.find(d).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["type"]))
+    assert len(spans[41]) == 2000
+    assert rows(op9_pii.mask(d).select("doc_id", "text")) == sorted(((i, _plain_mask(t, spans.get(i, []))) for i, t in data), key=repr)
+
+
+def test_candidates_of_any_script_reach_the_operator(spark):
+    number = "+٤٩ ٣٠ ١٢٣٤ ٥٦٧٨"
+    assert [c[2] for c in op9_pii.candidates(f"tel {number} .")] == [number]
+    assert op9_pii.occurrences(docs(spark, [(1, f"tel {number} .")])).count() == 1
+
+
+def test_addresses_come_first():
+    values = lambda t: [c[2] for c in op9_pii.candidates(t)]
+    assert values("to a.b@c.org, x@y.net;bob@z.com (q@r.de)") == ["a.b@c.org", "x@y.net", "bob@z.com", "q@r.de"]
+    assert values("1234567 8901234-bob@x.com") == ["1234567", "8901234-bob@x.com"]
+    assert values("a@b@c.org @ b@ @c") == ["a@b"]
+    for t in ("4111 1111 1111 1111 me@x.org 192.168.0.1", "me@x.org,+1 (555) 123 4567"):
+        assert len(values(t)) == len(re.split(r" me|,| (?=192)", t))
+
+
+@pytest.mark.parametrize("part", ["漢字", "a", "1", "1 ", "a1", "1.", "@", "a@", "+1 ", "1-", "(1) ", "_=", "token=", "é@é "])
+def test_long_texts_take_linear_time(part):
+    began = time.process_time()
+    sum(1 for _ in op9_pii.candidates(part * ((1 << 18) // len(part))))
+    assert time.process_time() - began < 20  # seconds for 256 kB
