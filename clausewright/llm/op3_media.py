@@ -15,6 +15,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from clausewright.llm import jpeg
 from clausewright.session import require
 
 FLOOR, RATIO, RADIUS = 0.2, 3.0, 4
+#: Frames that are decoded together.
+BATCH = 64
 SCHEMA = T.StructType(
     [T.StructField("media_id", T.LongType()), T.StructField("shot", T.IntegerType()), T.StructField("first_frame", T.IntegerType()), T.StructField("frames", T.IntegerType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()), T.StructField("cut_difference", T.DoubleType()), T.StructField("bad_frames", T.IntegerType()), T.StructField("error", T.StringType())]
 )
@@ -149,27 +152,26 @@ def clips(content: bytes | None) -> list[tuple]:
         return [(None, None, None, None, None, None, None, str(e))]
     differences, bad = np.zeros(len(frames)), np.zeros(len(frames), int)
     before = None
-    for t, (start, end) in enumerate(frames):
-        if start >= end:
-            continue
-        try:
-            now = histogram(jpeg.decode(content[start:end]))
-        except jpeg.BadFrame:
-            bad[t] = 1
-            continue
-        if before is not None:
-            differences[t] = np.abs(now - before).sum() / 2 if len(now) == len(before) else 1.0
-        before = now
+    for first in range(0, len(frames), BATCH):
+        part = [(t, s, e) for t, (s, e) in enumerate(frames[first : first + BATCH], first) if s < e]
+        for (t, _, _), planes in zip(part, jpeg.decode_all([content[s:e] for _, s, e in part]), strict=True):
+            if isinstance(planes, jpeg.BadFrame):
+                bad[t] = 1
+                continue
+            now = histogram(planes)
+            if before is not None:
+                differences[t] = np.abs(now - before).sum() / 2 if len(now) == len(before) else 1.0
+            before = now
     begins = [0, *cuts(differences).tolist()]
     return [(k, a, b - a, round(a / rate, 6), round(b / rate, 6), round(float(differences[a]), 6), int(bad[a:b].sum()), None) for k, (a, b) in enumerate(zip(begins, [*begins[1:], len(frames)], strict=True))]
 
 
 def detect(media: DataFrame) -> DataFrame:
-    """Clip rows of a table with ``media_id`` and ``content``. Narrow: files stay where they are read."""
+    """Clip rows of a table with ``media_id`` and ``content``. Narrow: files stay where they are read, one at a time is in Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *row) for i, content in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in clips(content)]
+            rows = [(i.as_py(), *row) for i, content in zip(*batch.columns, strict=True) for row in clips(content.as_py())]
             columns = list(zip(*rows, strict=True)) or [()] * len(_KINDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], SCHEMA.names)
 
@@ -200,20 +202,24 @@ def write_avi(frames: list[bytes], width: int, height: int, rate: int = 8, with_
     return b"RIFF" + len(body).to_bytes(4, "little") + body
 
 
-def render(vector: list[float] | None, scenes: int = 3, frames: int = 6, side: int = 16) -> bytes | None:
-    """A film made of a vector: its numbers, cut into scenes, are the brightness of the blocks of each scene, drifting slowly."""
+def render(vector: list[float] | None, scenes: int = 3, frames: int = 6) -> bytes | None:
+    """A colour film made of a vector. Its numbers are cut into one run for each scene; the numbers of a run are the tones of the scene's
+    blocks, one after the other those of luma, Cb and Cr (4:2:0, as many units as hold them all; a run begins anew
+    where blocks are left over). Luma drifts slowly from frame to frame. Each row of units ends in a restart marker."""
     if not vector:
         return None
     v = np.nan_to_num(np.array([0.0 if x is None else x for x in vector], float))
     v = np.clip((v - v.min()) / (np.ptp(v) or 1.0), 0, 1) * 200 + 20
-    blocks, out = (side // 8) ** 2, []
-    for s in range(scenes):
-        part = v[s * len(v) // scenes : (s + 1) * len(v) // scenes]
-        tone = np.resize(part[:blocks] if len(part) else v[:blocks], blocks).reshape(side // 8, side // 8)
+    runs = [v[s * len(v) // scenes : (s + 1) * len(v) // scenes] for s in range(scenes)]
+    k = math.isqrt(max(0, -(-max(map(len, runs)) // 6) - 1)) + 1  # units to a side
+    out = []
+    for s, run in enumerate(runs):
+        tones = np.resize(run if len(run) else v, 6 * k * k)
+        luma, cb, cr = (np.kron(t.reshape(side, side), np.ones((8, 8))) for t, side in zip(np.split(tones, [4 * k * k, 5 * k * k]), (2 * k, k, k), strict=True))
         for t in range(frames - s):
-            picture = np.kron(tone, np.ones((8, 8))) + 0.5 * t
-            out.append(jpeg.encode_grey(np.clip(picture, 0, 255).astype(np.uint8)))
-    return write_avi(out, side, side)
+            planes = [np.clip(p, 0, 255).astype(np.uint8) for p in (luma + 0.5 * t, cb, cr)]
+            out.append(jpeg.encode(planes, (2, 2), restart=k))
+    return write_avi(out, 16 * k, 16 * k)
 
 
 def rendered(embeddings: DataFrame) -> DataFrame:

@@ -143,3 +143,92 @@ def test_frames_of_a_later_segment(indexed):
     _, places = op3_media.index(film + b"RIFF" + words(len(avix)) + avix)
     assert [(film + b"RIFF" + words(len(avix)) + avix)[a:b] for a, b in places] == frames + more
     assert len(op3_media.clips(film + b"RIFF" + words(len(avix)) + avix)) == 2
+
+
+@pytest.mark.parametrize("sampling", [(1, 1), (2, 1), (1, 2), (2, 2)])
+@pytest.mark.parametrize("restart, tables", [(0, False), (1, True), (3, False)])
+def test_colour_round_trip(sampling, restart, tables):
+    height, width = 37, 45
+    y, x = np.mgrid[0:height, 0:width]
+    planes = [(120 + 60 * np.sin(x / 6) + 30 * np.cos(y / 5)).clip(0, 255).astype(np.uint8)]
+    for k in (1, 2):
+        h, w = -(-height // sampling[1]), -(-width // sampling[0])
+        y, x = np.mgrid[0:h, 0:w]
+        planes.append((100 * k + 40 * np.sin((x + k * y) / 7)).clip(0, 255).astype(np.uint8))
+    data = jpeg.encode(planes, sampling, 2, tables, restart)
+    assert (b"\xff\xd0" in data) == bool(restart)
+    back = jpeg.decode(data)
+    assert [p.shape for p in back] == [p.shape for p in planes]
+    assert all(np.abs(b.astype(int) - p).max() <= 6 for b, p in zip(back, planes, strict=True))
+
+
+def test_frames_decoded_together_equal_single_ones():
+    rng = np.random.default_rng(5)
+    noise = [rng.integers(0, 256, (24, 16), dtype=np.uint8) for _ in range(4)]
+    frames = [jpeg.encode_grey(n, 3) for n in noise] + [jpeg.encode([n, n[:12, :8], n[:12, :8]], (2, 2), 5) for n in noise] + [b"\xff\xd8broken", jpeg.encode_grey(noise[0], 3)[:60]]
+    for data, found in zip(frames, jpeg.decode_all(frames), strict=True):
+        if isinstance(found, jpeg.BadFrame):
+            with pytest.raises(jpeg.BadFrame):
+                jpeg.decode(data)
+        else:
+            assert all((a == b).all() for a, b in zip(found, jpeg.decode(data), strict=True))
+    assert [isinstance(f, jpeg.BadFrame) for f in jpeg.decode_all(frames)] == [False] * 8 + [True] * 2
+
+
+def _plain_histogram(planes):
+    out = []
+    for k, p in enumerate(planes):
+        bins = 8 if k else 32
+        h = [0.0] * (bins + 1)
+        for x in p.ravel().tolist():
+            part = x * bins / 256
+            h[int(part)] += 1 - part % 1
+            h[int(part) + 1] += part % 1
+        out += [x / p.size / len(planes) for x in h]
+    return out
+
+
+def test_histogram_against_plain():
+    rng = np.random.default_rng(6)
+    planes = [rng.integers(0, 256, s, dtype=np.uint8) for s in ((16, 24), (8, 12), (8, 12))]
+    assert np.allclose(op3_media.histogram(planes), _plain_histogram(planes))
+
+
+def _plain_cuts(d):
+    out = []
+    for t in range(1, len(d)):
+        before, after = list(d[max(1, t - op3_media.RADIUS) : t]), list(d[t + 1 : t + op3_media.RADIUS + 1])
+        around = before + after
+        if d[t] >= op3_media.FLOOR and all(x < d[t] for x in before) and all(x <= d[t] for x in after) and (not around or d[t] > op3_media.RATIO * sum(around) / len(around)):
+            out.append(t)
+    return out
+
+
+def test_cuts_against_plain_with_ties():
+    rng = random.Random(7)
+    for _ in range(500):
+        d = [0.0] + [rng.choice([0.0, 0.01, 0.05, 0.19, 0.2, 0.5, 0.5, 1.0]) for _ in range(rng.randint(0, 25))]
+        assert op3_media.cuts(np.array(d)).tolist() == _plain_cuts(d)
+    assert op3_media.cuts(np.array([0, 0, 0.5, 0, 0.5, 0, 0])).tolist() == [2]
+
+
+def test_rendered_films_hold_every_number(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=64)
+    v[0], v[1] = -5, 5
+    film = op3_media.render(v.tolist())
+    tones = np.clip((v + 5) / 10, 0, 1) * 200 + 20
+    _, places = op3_media.index(film)
+    assert len(places) == 15
+    for scene, first in enumerate((0, 6, 11)):
+        planes = jpeg.decode(film[places[first][0] : places[first][1]])
+        found = np.concatenate([p.reshape(p.shape[0] // 8, 8, -1, 8).mean(axis=(1, 3)).ravel() for p in planes])
+        run = tones[scene * 64 // 3 : (scene + 1) * 64 // 3]
+        assert np.abs(found[: len(run)] - run).max() < 2.5
+    table = spark.createDataFrame([(1, v.tolist()), (2, None), (3, []), (4, [None, 1.0]), (5, [0.5])], "vec_id long, embedding array<double>").selectExpr("*", "'x' AS media_id", "1 AS content")
+    got = defaultdict(list)
+    for r in op3_media.detect(op3_media.rendered(table)).collect():
+        got[r["media_id"]].append(r)
+    assert len(got[1]) == 3 and [r["start_s"] for r in got[1]] == [0.0, 0.75, 1.375]
+    assert all(len(got[k]) == 1 and got[k][0]["error"] for k in (2, 3)) and len(got[5]) == 1 and got[5][0]["error"] is None
+    assert rows(op3_media.detect(op3_media.rendered(table.limit(0)))) == []
