@@ -79,17 +79,105 @@ def test_secrets_found_in_whole_text(spark):
         op4_secrets.Ratio([("abc", True)])
 
 
-def test_licences(spark):
-    model = op5_licences.train(n=150, steps=40)
-    texts, labels = op5_licences.samples(40, seed=77)
-    right = 0
+@pytest.fixture(scope="module")
+def licences():
+    return op5_licences.train()
+
+
+def test_licences(spark, licences):
+    texts, labels = op5_licences.samples(15, seed=77)
+    right = wrong = 0
     for t, k in zip(texts, labels, strict=True):
-        found = op5_licences.classify([t], model)
-        right += (found[0][4] if found else "unknown") == op5_licences.FAMILIES[k]
-    assert right / len(texts) > 0.93
-    text = prose(1, 5_000) + "\nReleased under the MIT License.\n" + prose(2, 50)
-    found = [r for r in op5_licences.scan(docs(spark, [(1, text), (2, "The fishing license is valid for one year.")]), model).collect() if r["confirmed"]]
-    assert [(r["doc_id"], r["paragraph"], r["family"]) for r in found] == [(1, 1, "mit")]
+        families = [f for *_, f, _, share in op5_licences.classify([t], licences) if share >= op5_licences.MIN_SIMILARITY]
+        right += families == ([] if k == len(op5_licences.FAMILIES) - 1 else [op5_licences.FAMILIES[k]])
+        wrong += bool(families) and k == len(op5_licences.FAMILIES) - 1
+    assert right / len(texts) > 0.85 and wrong / len(texts) < 0.01
+    text = prose(1, 5_000) + "\n\nReleased under the MIT License.\n\n" + prose(2, 50)
+    found = [r for r in op5_licences.scan(docs(spark, [(1, text), (2, "The fishing license is valid for one year.")]), licences).collect() if r["confirmed"]]
+    assert [(r["doc_id"], r["paragraph"], r["family"], text[r["start"] : r["end"]]) for r in found] == [(1, 1, "mit", "under the MIT License")]
+
+
+HEADER = """#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+x = 1"""
+
+
+def test_wrapped_notices_are_seen_whole(licences):
+    found = [r for r in op5_licences.classify([HEADER], licences) if r[6] >= op5_licences.MIN_SIMILARITY]
+    assert found and found[0][4] == "gpl-3.0" and found[0][1] == 0
+    assert HEADER[found[0][2] : found[0][3]].startswith("it under the terms") and "Foundation" in HEADER[found[0][2] : found[0][3]]
+
+
+@pytest.mark.parametrize("family, line", [("apache-2.0", "Licensed under the Apache License, Version 2.0."), ("mit", "Released under the MIT License."), ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."), ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."), ("mpl-2.0", "These files are under the Mozilla Public License, version 2.0")])
+def test_lines_within_prose(licences, family, line):
+    for k in range(8):
+        text = f"{prose(k, 5 * k)}\n{line}\n{prose(k + 9, 40)}"
+        assert [r[4] for r in op5_licences.classify([text], licences) if r[6] >= op5_licences.MIN_SIMILARITY] == [family]
+
+
+def test_two_notices_in_one_paragraph(licences):
+    found = op5_licences.classify([f"Released under the MIT License. {prose(2, 10)} and under the Apache License, Version 2.0, as you like"], licences)
+    assert {r[4] for r in found if r[6] >= op5_licences.MIN_SIMILARITY} == {"mit", "apache-2.0"}
+
+
+def test_windows_against_plain(licences):
+    """The probabilities of each window, one at a time and in plain Python."""
+    text = f"{prose(3, 30)} under the terms of the MIT license {prose(4, 20)}\n\n{HEADER}"
+    grams = lambda words, n: [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+    hashes, *_ = textvec.words([text])
+    words = hashes.tolist()
+    bucket = {}
+    for n in (1, 2, 3):
+        h, _ = textvec.word_ngrams(hashes, np.zeros(len(hashes), int), n)
+        bucket.update(zip(grams(words, n), (h % np.uint64(op5_licences.DIMS)).astype(int).tolist(), strict=True))
+    plain, at, line = [], 0, []
+    for k, part in enumerate(op5_licences._BLANK_LINE.split(text)):
+        n = len(textvec.words([part])[0])
+        mine = words[at : at + n]
+        line += [k] * n
+        at += n
+        for low in range(0, max(1, -(-(n - op5_licences.WINDOW) // op5_licences.STRIDE) * op5_licences.STRIDE + 1), op5_licences.STRIDE):
+            features = [bucket[g] for k in (1, 2, 3) for g in grams(mine[low : low + op5_licences.WINDOW], k)]
+            logits = licences.bias + op5_licences.SCALE * licences.weights[features].sum(axis=0) / (len(features) + op5_licences.SMOOTH)
+            plain.append(licences.probabilities(logits[None])[0])
+    *_, p = op5_licences.windows(hashes, np.zeros(len(hashes), int), np.array(line), licences)
+    assert at == len(words) and p.shape == (len(plain), len(op5_licences.FAMILIES)) and np.allclose(p, plain, atol=1e-4)
+
+
+def test_labelled_rows_of_a_table(spark):
+    table = spark.createDataFrame([(f"{prose(i, 4)} zork terms {prose(i, 3)}", "isc") for i in range(30)] + [("x", None), (None, "mit"), ("y", "no such")], "text string, family string")
+    texts, labels = op5_licences.bounded(table, 20)
+    assert len(texts) == 22 and sorted(np.unique(labels).tolist()) == [op5_licences.FAMILIES.index("isc"), len(op5_licences.FAMILIES) - 1]
+
+
+def test_markov_against_plain():
+    """Interpolated probabilities of orders 2, 1 and 0 by counting in dictionaries."""
+    texts = ["getUserName", "set_value", "ab/cd-ef", "aaaa"]
+    model = op4_secrets.Markov(texts, 3.0)
+    n = len(op4_secrets.ALPHABET)
+    three, two, one = {}, {}, {}
+    for t in texts:
+        for a, b, c in zip("^^" + t, "^" + t, t, strict=False):
+            for d, k in ((three, (a, b, c)), (two, (b, c)), (one, c)):
+                d[k] = d.get(k, 0) + 1
+    total = sum(one.values())
+
+    def p(a, b, c):
+        p0 = (one.get(c, 0) + 0.5) / (total + 0.5 * n)
+        p1 = (two.get((b, c), 0) + 3 * p0) / (sum(v for k, v in two.items() if k[0] == b) + 3)
+        return (three.get((a, b, c), 0) + 3 * p1) / (sum(v for k, v in three.items() if k[:2] == (a, b)) + 3)
+
+    code = {c: i for i, c in enumerate(op4_secrets.ALPHABET)} | {"^": n}
+    for a, b, c in [("^", "^", "g"), ("^", "g", "e"), ("s", "e", "t"), ("z", "z", "z"), ("a", "a", "a")]:
+        assert model.log_p[code[a], code[b], code[c]] == pytest.approx(np.log(p(a, b, c)), abs=1e-4)
+    ratio = op4_secrets.Ratio([("Zq9xT1", True), ("name", False)])
+    r, o = op4_secrets.Markov(["Zq9xT1"]).log_p, op4_secrets.Markov(["name"]).log_p
+    plain = sum(r[code[a], code[b], code[c]] - o[code[a], code[b], code[c]] for a, b, c in zip("^^nZ9", "^nZ9", "nZ9e", strict=False))
+    assert ratio("nZ9e") == pytest.approx(plain, abs=1e-4)
 
 
 def _people(n: int) -> list[tuple]:
