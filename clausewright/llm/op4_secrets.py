@@ -1,7 +1,9 @@
 """Secret scan: two character Markov models, of random strings and of ordinary identifiers, compared by log-likelihood ratio.
 
 Candidates are the maximal runs of ``ALPHABET`` characters of ``MIN_LENGTH`` or more. Both models are of order two with interpolated
-back-off, trained from labelled samples (``(text, is_secret)`` rows; ``labelled_samples`` builds the default set). A candidate is a
+back-off, trained from labelled samples: a table or list of (text, is_secret), of which at most ``MAX_PER_CLASS`` rows a class are
+taken, or by default those that ``labelled_samples`` makes. Shorter strings hold too little to tell the classes apart and are never
+reported. A candidate is a
 secret if the ratio of its likelihoods exceeds ``THRESHOLD`` nats in all and ``PER_CHAR`` for each character.
 
 Defined results
@@ -19,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +31,7 @@ from clausewright.session import require
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 MIN_LENGTH = 16
 THRESHOLD, PER_CHAR = 10.0, 0.5
+MAX_PER_CLASS = 20_000
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}"
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("llr", T.DoubleType()), T.StructField("redacted", T.StringType()), T.StructField("digest", T.StringType())])
 _CODE = np.full(128, -1)
@@ -134,8 +137,17 @@ class Ratio:
         return r > THRESHOLD and r > PER_CHAR * len(text)
 
 
-def scan(docs: DataFrame, samples: Iterable[tuple[str, bool]] | None = None) -> DataFrame:
+def bounded(table: DataFrame, per_class: int = MAX_PER_CLASS) -> list[tuple[str, bool]]:
+    """At most ``per_class`` rows of each class of a labelled table (text, is_secret), chosen by a hash; nulls are left out."""
+    rows = require(table, {"text": T.StringType(), "is_secret": T.BooleanType()}).where("text IS NOT NULL AND is_secret IS NOT NULL")
+    rank = F.row_number().over(Window.partitionBy("is_secret").orderBy(F.xxhash64("text"), "text"))
+    return [(r["text"], r["is_secret"]) for r in rows.withColumn("rank", rank).where(F.col("rank") <= per_class).orderBy("is_secret", "rank").collect()]
+
+
+def scan(docs: DataFrame, samples: DataFrame | Iterable[tuple[str, bool]] | None = None) -> DataFrame:
     """One row for each secret. Texts without a candidate are dropped by the scan and never reach Python."""
+    if isinstance(samples, DataFrame):
+        samples = bounded(samples)
     ratio = docs.sparkSession.sparkContext.broadcast(Ratio(labelled_samples() if samples is None else samples))
     pattern = re.compile(CANDIDATE)
 
