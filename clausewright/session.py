@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -29,21 +30,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A temporary one is set only where the session names none, as in tests."""
+    """The folder that all executors share. Only a session on one machine, as in tests, gets a temporary one where it names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='clausewright-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session is gone, and its folder is the cluster's to clear
+        pass
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Runs ``df`` once, writes it to the shared folder and reads it back, so that later plans start from files."""
+    """Runs ``df`` once, writes it to the shared folder and reads it back, so that later plans start from files. The files go when
+    the program ends: plans made of them may run at any time until then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

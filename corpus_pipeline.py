@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
 All but the last return the columns of ``documents``; the last returns one row for each packed piece.
+
+Defined results, of every stage: null ids and null or empty texts are rows like any other; extra columns, whatever their names, come
+out as they went in (all stages but the last); an empty table gives no rows. What ties and repeated rows give is said at each stage.
 """
 
 from __future__ import annotations
@@ -14,17 +17,18 @@ from clausewright.session import cut, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. Repeated rows stay or go alike; an empty text is judged by the share of good labels."""
     return op1_quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id stays."""
+    """Of each group of near copies the document of the least id stays. Of rows that repeat an id one stays, that of the least text
+    hash; rows with a null id or a text without words are in no group and stay, all of them."""
     return op6_neardup.drop_copies(docs)
 
 
 def personal_identifiers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Identifiers are replaced by their type; ``n_chars`` follows the text."""
+    """Identifiers are replaced by their type; ``n_chars`` follows the text (where that is null it stays). No row goes."""
     masked = op9_pii.mask(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -32,12 +36,14 @@ def personal_identifiers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture draws it, within a budget of as many words as come in."""
-    return op10_mixing.draw(docs).select(*docs.columns)
+    """Each document as often as the mixture draws it, within a budget of as many words as come in. Null sources are a source of their
+    own; repeated rows are drawn alike, but for the block where the budget ends; texts without words go with their block."""
+    return op10_mixing.drawn(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin and offset of each piece of each document."""
+    """The bin and offset of each piece of each document; a text without words is one piece of 0 words in no bin. Copies drawn by
+    the mixture lie in different bins; ties in length go by id, then piece."""
     return op7_packing.pack(docs)
 
 

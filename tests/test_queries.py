@@ -39,12 +39,21 @@ def test_query_equals_sql(spark, sql, name):
     assert sorted(repr([_plain(x) for x in r]) for r in df.select(*columns).collect()) == right
 
 
-def test_entry_without_the_optional_parts(tmp_path):
+@pytest.mark.parametrize("left", ["nothing", "empty", "cache", "init"])
+def test_entry_without_the_optional_parts(tmp_path, left):
     here = Path(__file__).resolve().parent.parent
     for p in here.rglob("*.py"):
         kept = p.relative_to(here)
         if "llm" not in kept.parts and "tests" not in kept.parts and kept.name != "corpus_pipeline.py":
             (tmp_path / kept).parent.mkdir(parents=True, exist_ok=True)
             (tmp_path / kept).write_bytes(p.read_bytes())
+    rest = tmp_path / "clausewright" / "llm"
+    if left != "nothing":
+        rest.mkdir()
+    if left == "cache":
+        (rest / "__pycache__").mkdir()
+        (rest / "__pycache__" / "queries.cpython-313.pyc").write_bytes(b"")
+    if left == "init":
+        (rest / "__init__.py").write_text("")
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert said.stdout.split() == [str(len(queries.QUERIES)), str(len(queries.ORACLE))], said.stderr
