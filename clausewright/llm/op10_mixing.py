@@ -113,6 +113,15 @@ def prefix_sums(rows: DataFrame, groups: list[str], value: str, order: F.Column,
     return local.join(sizes, same).withColumn("upto", F.col("before") + F.col("local")).drop("at", "range", "before", "local", "of_range", *[f"of_{g}" for g in groups])
 
 
+def source_plan(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, max_passes: float = MAX_PASSES) -> DataFrame:
+    """source, words, alpha, weight and quota of every source: what ``draw`` realises."""
+    totals = {r["source"]: r["n"] for r in require(docs, {"source": T.StringType(), "text": T.StringType()}).groupBy("source").agg(F.sum(words_of().cast("long")).alias("n")).collect()}
+    budget = sum(totals.values()) if budget is None else budget
+    alpha, weight = weights(totals, budget, entropy, max_passes)
+    quota = quotas(totals, weight, budget)
+    return docs.sparkSession.createDataFrame([(s, n, alpha, weight[s], quota[s]) for s, n in totals.items()], "source string, words long, alpha double, weight double, quota long")
+
+
 def draw(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, max_passes: float = MAX_PASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each row of ``docs`` as often as it is drawn, as ``row`` (a struct of all its columns) with ``pass``, ``block`` and ``mix_rank``."""
     spark = docs.sparkSession
