@@ -40,11 +40,11 @@ def rewrite(expression: Column, replace: Callable[[Column], Column]) -> Column:
     return F.array_join(F.transform(pieces(F.coalesce(expression, F.lit(""))), lambda p: F.when(_is_id(p), replace(p)).otherwise(p)), "")
 
 
-def lookup(mapping: dict[str, str]) -> Callable[[Column], Column]:
+def lookup(mapping: dict[str, str], fallback: Callable[[Column], Column] = lambda p: F.concat(F.lit(REF_PREFIX), F.lower(p))) -> Callable[[Column], Column]:
     """A replacement by a small literal map, with the reference namespace as fallback."""
     keys, values = list(mapping), list(mapping.values())
     table = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*map(F.lit, values))) if keys else F.lit(None)
-    return lambda p: F.coalesce(F.element_at(table, F.lower(p)) if keys else F.lit(None).cast("string"), F.concat(F.lit(REF_PREFIX), F.lower(p)))
+    return lambda p: F.coalesce(F.element_at(table, F.lower(p)) if keys else F.lit(None).cast("string"), fallback(p))
 
 
 def is_placeholder(identifier: Column) -> Column:
@@ -141,6 +141,16 @@ def render(tree: Leaf | Pair, outer: str = "") -> str:
     return f"({inner})" if outer and outer != tree.operator and tree.operator != "WITH" else inner
 
 
+def rewritten(text: str, replace: Callable[[str], str]) -> str:
+    """A valid expression with each identifier replaced and rendered anew; any other text as it is."""
+    tree = parse(text)
+    if tree is None:
+        return text
+    for leaf in _leaves(tree):
+        leaf.text = replace(leaf.text)
+    return render(tree)
+
+
 class Resolver:
     """SPDX identifiers to keys, and keys to reported identifiers. Both maps have lower-case keys."""
 

@@ -15,14 +15,47 @@ def fold(word: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The words of a text in order, folded one by one. Null gives an empty array."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    return F.transform(found, fold)
+    """The words of a text in order. The whole text is folded before words are taken: once its sigmas and dotted I are replaced, lower
+    case changes no character's class and depends on no neighbour. Null gives an empty array."""
+    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with one more column, which is evaluated once for each row. The optimiser puts the expression of a plain column
+    wherever the column is used, inside of lambdas as well, where it would be evaluated for each element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def token_hash(words: Column) -> Column:
-    """A 64-bit key of a word sequence; words are joined by a character that no word holds."""
-    return F.xxhash64(F.array_join(words, " "))
+    """32 bytes that stand for a word sequence; words are joined by a character that no word holds."""
+    return F.unhex(F.sha2(F.array_join(words, " "), 256))
+
+
+class _Offsets:
+    """Bytes of words, inside one row. ``offsets(text)`` gives the bytes of the gap before each word and of the word, ``sums`` their
+    totals by stretches of ``STRETCH`` words, and ``end(n)`` where the n-th word ends, from columns ``parts`` and ``sums``."""
+
+    STRETCH = 1024
+
+    def __call__(self, text: Column) -> Column:
+        gap, word = (F.regexp_extract_all(text, F.lit(_GAP_AND_WORD), F.lit(k)) for k in (1, 2))
+        return F.zip_with(gap, word, lambda g, w: F.struct(F.octet_length(g).alias("gap"), F.octet_length(w).alias("word")))
+
+    @staticmethod
+    def _total(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc + p["gap"] + p["word"])
+
+    def sums(self, parts: Column) -> Column:
+        stretches = F.sequence(F.lit(0), F.floor(F.size(parts) / self.STRETCH).cast("int"))
+        return F.transform(stretches, lambda k: self._total(F.slice(parts, k * self.STRETCH + 1, F.lit(self.STRETCH))))
+
+    def end(self, n: Column) -> Column:
+        full = F.floor(n / self.STRETCH).cast("int")
+        before = F.aggregate(F.slice("sums", F.lit(1), full), F.lit(0).cast("long"), lambda acc, x: acc + x)
+        return before + self._total(F.slice("parts", full * self.STRETCH + 1, n - full * self.STRETCH))
+
+
+offsets = _Offsets()
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

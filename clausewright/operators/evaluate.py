@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausewright.functions import expressions, policy
+from clausewright.operators import match
+from clausewright.operators.filters import Options, filter_hits
+
+TOP = 20
+
 
 def clean(expressions: Column) -> Column:
     """Sorted distinct expressions without the empty one."""
@@ -28,7 +35,7 @@ def stage(expected: Column, actual: Column, exact_expected: Column) -> Column:
 
 def outcomes(cases: DataFrame) -> DataFrame:
     """Cases (path, expected, actual, exact_expected, skipped) with their stage; null for a skipped one."""
-    rows = cases.select("path", "skipped", *[clean(F.col(c)).alias(c) for c in ("expected", "actual", "exact_expected")])
+    rows = cases.select(*[c for c in ("profile",) if c in cases.columns], "path", "skipped", *[clean(F.col(c)).alias(c) for c in ("expected", "actual", "exact_expected")])
     return rows.withColumn("stage", F.when(~F.col("skipped"), stage(F.col("expected"), F.col("actual"), F.col("exact_expected"))))
 
 
@@ -38,9 +45,28 @@ def rate(found: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.when(F.col("evaluated") > 0, F.round(100 * F.col("passed") / F.col("evaluated"), 2)).otherwise(0.0))
 
 
+#: Filter configurations that are compared, from none to all.
+PROFILES = {"raw": Options(False, False, False), "contained": Options(True, False, False), "overlapping": Options(True, True, False), "false positives": Options()}
+
+
+def profiles(found: DataFrame, rules: DataFrame, expected: DataFrame) -> DataFrame:
+    """profile, path, expected, actual, exact_expected and skipped of each document under each filter configuration. ``found``:
+    match.hits; ``expected``: doc_id, expected. An expression is exact_expected if it is expected and a candidate has it."""
+    facts = F.broadcast(rules.select("rule_index", F.col("reported_expression").alias("expression")))
+    parts = None
+    for name, options in PROFILES.items():
+        part = match.candidates(filter_hits(found, rules, options)).join(facts, "rule_index").select("doc_id", "expression", F.lit(name).alias("profile"))
+        parts = part if parts is None else parts.unionByName(part)
+    names = F.explode(F.array(*map(F.lit, PROFILES))).alias("profile")
+    actual = parts.where("expression <> ''").groupBy("profile", "doc_id").agg(F.collect_set("expression").alias("actual"))
+    exact = actual.where("profile = 'raw'").select("doc_id", F.col("actual").alias("raw"))
+    rows = expected.select("doc_id", "expected", names).join(actual, ["profile", "doc_id"], "left").join(exact, "doc_id", "left")
+    return rows.select("profile", F.col("doc_id").cast("string").alias("path"), "expected", "actual", F.array_intersect("expected", F.coalesce("raw", F.array().cast("array<string>"))).alias("exact_expected"), F.lit(False).alias("skipped"))
+
+
 def profile(found: DataFrame) -> DataFrame:
     """Cases by filter configuration and stage, with totals. found: outcomes() with a column ``profile``."""
-    return found.rollup("profile", "stage").agg(F.count("*").alias("cases"))
+    return found.rollup("profile", "stage").agg(F.count("*").alias("cases"), F.grouping_id().alias("level"))
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -58,3 +84,67 @@ def compare_tools(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     joined = a.join(b, "path", "full_outer").select("path", F.coalesce("ours", empty).alias("ours"), F.coalesce("theirs", empty).alias("theirs"))
     return joined.withColumn("agree", F.col("ours") == F.col("theirs"))
+
+
+def problems(before: DataFrame, after: DataFrame, limit: int = TOP) -> DataFrame:
+    """The first problems of a run against an earlier one, in order, and a last row if there are more: divergences that are new, or
+    whose stage, expected, actual or exact expressions changed, a fallen number of passes and another number of cases."""
+    counts = lambda f: f.agg(F.count("*").alias("cases"), F.count("stage").alias("evaluated"), F.count_if(F.col("stage") == "passed").alias("passed"))
+    a, b = counts(before).alias("a"), counts(after).alias("b")
+    both = a.join(F.broadcast(b))  # one row each
+    text = F.array_compact(F.array(
+        F.when((F.col("a.cases") != F.col("b.cases")) | (F.col("a.evaluated") != F.col("b.evaluated")), F.format_string("suite size changed from %d/%d to %d/%d", "a.cases", "a.evaluated", "b.cases", "b.evaluated")),
+        F.when(F.col("b.passed") < F.col("a.passed"), F.format_string("pass count fell from %d to %d", "a.passed", "b.passed")),
+    ))
+    totals = both.select(F.explode(text).alias("problem"))
+    columns = ["path", "stage", "expected", "actual", "exact_expected"]
+    wrong = lambda f, n: f.where("stage <> 'passed'").select(*[F.col(c).alias(f"{n}_{c}") for c in columns])
+    joined = wrong(after, "now").join(wrong(before, "was"), F.col("now_path") == F.col("was_path"), "left")
+    changed = F.lit(False)
+    for c in columns[1:]:
+        changed = changed | ~F.col(f"now_{c}").eqNullSafe(F.col(f"was_{c}"))
+    named = joined.select(F.when(F.col("was_path").isNull(), F.concat(F.lit("new divergence: "), "now_path")).when(changed, F.concat(F.lit("changed divergence: "), "now_path")).alias("problem")).where("problem IS NOT NULL")
+    return top(totals.unionByName(named), "problem", limit, "more problems are left out")
+
+
+def top(rows: DataFrame, column: str, limit: int = TOP, more: str = "...") -> DataFrame:
+    """(place, ``column``): the first values in order, and ``more`` after them if some are left out."""
+    first = rows.select(column).orderBy(column).limit(limit + 1)
+    ranked = first.withColumn("place", F.row_number().over(Window.orderBy(column)))  # limit + 1 rows
+    return ranked.select(F.col("place").cast("long").alias("place"), F.when(F.col("place") <= limit, F.col(column)).otherwise(more).alias(column))
+
+
+def sample_text(values: Column, limit: int = TOP) -> Column:
+    """The first values of a list in one text, and how many there are where some are left out."""
+    text = F.array_join(F.slice(values, 1, limit), ", ")
+    return F.when(F.size(values) == 0, "(none)").when(F.size(values) <= limit, text).otherwise(F.concat(text, F.lit(" ... ("), F.size(values).cast("string"), F.lit(" total)")))
+
+
+def is_comparison_file(path: Column) -> Column:
+    """Files at the root of a project that another tool looks at as well: legal files and readmes."""
+    plain = F.regexp_replace(path, r"^\./", "")
+    return ~plain.contains("/") & ((F.size(policy.legal_roles(path)) > 0) | policy.is_readme(plain))
+
+
+def rule_expression(expression: Column, keys: dict[str, str]) -> Column:
+    """A reported expression in the identifiers of the rules. ``keys``: SPDX identifiers, lower-case, to keys."""
+    table = expressions.lookup(keys, fallback=lambda p: p)
+
+    def resolve(p: Column) -> Column:
+        low, bare = F.lower(p), F.regexp_replace(F.lower(p), f"^{expressions.REF_PREFIX.lower()}", "")
+        none = F.lit(expressions.UNKNOWN_KEY)  # LicenseRef, DocumentRef and what no map names
+        known = lambda x: x.isin(*keys)
+        return F.when(known(low), table(low)).when((bare != low) & known(bare), table(bare)).otherwise(none)
+
+    return expressions.rewrite(expression, resolve)
+
+
+def comparison_expression(df: DataFrame, column: str, keys: dict[str, str]) -> DataFrame:
+    """``df`` with ``comparable``: another tool's expression in the keys of the rules; as it is where it is malformed."""
+    resolver = {k.lower(): v for k, v in keys.items()}
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: v if not isinstance(v, str) else expressions.rewritten(v, lambda i: resolver.get(i.lower(), i)))
+
+    return df.withColumn("comparable", run(F.col(column).cast("string")))

@@ -1,8 +1,8 @@
 """Filters between candidates and matches: contained, overlapping, restored and false-positive candidates.
 
 ``contained`` and ``restore`` are set operations on windows and anti joins. The greedy overlap pass depends on the order of its
-own removals, so it is a fold over the candidates of one document; ``filter_matches`` runs all steps in one such fold, after one
-shuffle by document, and gives each candidate its final state.
+own removals, so it is a fold over the candidates of one document; ``filter_hits`` and ``filter_states`` run all steps in one such
+fold over the rows of ``match.hits``, each of which holds all candidates of its document.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from clausewright.operators import match
 from clausewright.operators.rules import FALSE_POSITIVE
 
 SAME_LICENCE, ANY_LICENCE, NEARLY_ALL = 0.40, 0.70, 0.90
@@ -141,55 +143,50 @@ def fold(rows: list[Span], options: Options = Options()) -> list[str]:
     return state
 
 
+def filter_states(found: DataFrame, rules: DataFrame, options: Options = Options()) -> DataFrame:
+    """The candidates of ``match.hits`` with the ``state`` of each. Nothing is shuffled: a document's candidates are one row."""
+    return _folded(found, rules, lambda rows: fold(rows, options))
+
+
 def filter_overlaps(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """``found`` with state 'overlapping' where the greedy pass drops a candidate; nothing is restored."""
-    return _folded(found, rules, lambda rows: fold_overlaps(rows))
+    """The candidates that the contained filter keeps, with state 'overlapping' where the greedy pass drops one; nothing is restored."""
+    def states(rows: list[Span]) -> list[str]:
+        state = fold(rows, Options(overlapping=False, false_positive=False))
+        return fold_overlaps(rows, ["contained" if x != "active" else x for x in state])
 
+    return _folded(found, rules, states).where("state <> 'contained'")
 
-def filter_states(found: DataFrame, rules: DataFrame, options: Options = Options()) -> DataFrame:
-    """``found`` (doc_id, rule_index, tok_start, tok_end, method) with the ``state`` of each candidate. One shuffle, by document."""
-    return _folded(found, rules, lambda rows: fold(rows, options))
+
+def filter_hits(found: DataFrame, rules: DataFrame, options: Options = Options()) -> DataFrame:
+    """``match.hits`` with the surviving hits only, and only documents that have some."""
+    return _fold_rows(found, rules, lambda rows: fold(rows, options), found.schema, lambda hits, states: [h for h, s in zip(hits, states, strict=True) if s == "active"])
 
 
 def _folded(found: DataFrame, rules: DataFrame, states_of: Callable[[list[Span]], list[str]]) -> DataFrame:
-    facts = rules.select("rule_index", "expression", "flags")
-    facts = F.broadcast(facts) if rules.count() <= 100_000 else facts
-    rows = found.join(facts, "rule_index").select("doc_id", "rule_index", "tok_start", "tok_end", "method", "expression", "flags")
-    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", *order())
-    schema = T.StructType([f for f in rows.schema if f.name not in ("expression", "flags")] + [T.StructField("state", T.StringType())])
+    element = T.StructType([*found.schema["hits"].dataType.elementType.fields, T.StructField("state", T.StringType())])
+    schema = T.StructType([f if f.name != "hits" else T.StructField("hits", T.ArrayType(element)) for f in found.schema.fields if f.name != "text"])
+    rows = _fold_rows(found.drop("text"), rules, states_of, schema, lambda hits, states: [h | {"state": s} for h, s in zip(hits, states, strict=True)])
+    return rows.select("doc_id", "method", F.inline("hits")).select("doc_id", "rule_index", "tok_start", "tok_end", "method", "state")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            docs, rule, start, end, _, expression, flags = (c.to_pylist() for c in table.columns)
-            states: list[str] = []
-            at = 0
-            while at < len(docs):
-                stop = at + 1
-                while stop < len(docs) and docs[stop] == docs[at]:
-                    stop += 1
-                states += ["active"] if stop - at == 1 and not flags[at] & FALSE_POSITIVE else states_of(list(zip(start[at:stop], end[at:stop], rule[at:stop], expression[at:stop], flags[at:stop], strict=True)))
-                at = stop
-            yield from table.drop_columns(["expression", "flags"]).append_column("state", pa.array(states, pa.string())).combine_chunks().to_batches()
 
+def _fold_rows(found: DataFrame, rules: DataFrame, states_of: Callable[[list[Span]], list[str]], schema: T.StructType, keep: Callable[[list[dict], list[str]], list[dict]]) -> DataFrame:
+    facts = found.sparkSession.sparkContext.broadcast(match.dictionary(rules).facts)
+    at = found.columns.index("hits")
+    kind = to_arrow_type(schema["hits"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = facts.value
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            ids = table.column("doc_id").to_pylist()
-            cut = len(ids)
-            while cut and ids[cut - 1] == ids[-1]:
-                cut -= 1
-            held = table.slice(cut)  # the last document may go on in the next batch
-            if cut:
-                yield from solve(table.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield from solve(held)
-
-    return rows.mapInArrow(run, schema)
-
-
-def filter_matches(found: DataFrame, rules: DataFrame, options: Options = Options()) -> DataFrame:
-    """The candidates that survive all filters."""
-    return filter_states(found, rules, options).where("state = 'active'").drop("state")
+            out = []
+            for value in batch.column(at):
+                hits = value.as_py()
+                rows = [(h["tok_start"], h["tok_end"], h["rule_index"], *known[h["rule_index"]]) for h in hits]
+                order = sorted(range(len(rows)), key=lambda i: (rows[i][0], rows[i][0] - rows[i][1], rows[i][2]))
+                states = states_of([rows[i] for i in order])
+                out.append(keep([hits[i] for i in order], states))
+            some = pa.array([bool(x) for x in out], pa.bool_())
+            columns = batch.columns
+            columns[at] = pa.array(out, kind)
+            yield pa.RecordBatch.from_arrays(columns, schema.names).filter(some)
+
+    return found.mapInArrow(run, schema)

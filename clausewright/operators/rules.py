@@ -63,8 +63,17 @@ def prepare(raw: DataFrame, reporting: dict[str, str] | None = None) -> DataFram
     return rows.select("rule_index", "rule_id", "expression", "reported_expression", "license_ids", "identification", "tokens", "n_tokens", "flags", "kind", "relevance")
 
 
+_built: dict[str, DataFrame] = {}
+
+
 def builtin(spark: SparkSession) -> DataFrame:
-    return prepare(spark.createDataFrame(BUILTIN, "rule_id string, expression string, text string, flags int, relevance int"))
+    """The built-in rules, prepared once a session."""
+    key = spark.sparkContext.applicationId
+    if key not in _built:
+        prepared = prepare(spark.createDataFrame(BUILTIN, "rule_id string, expression string, text string, flags int, relevance int"))
+        _built.clear()
+        _built[key] = spark.createDataFrame(prepared.collect(), prepared.schema)
+    return _built[key]
 
 
 def violations(rules: DataFrame, vocabulary_size: int | None = None) -> DataFrame:

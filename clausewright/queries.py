@@ -65,12 +65,17 @@ _TOKENS_SQL = f"list_transform(regexp_extract_all(text, '{_WORD_SQL}'), lambda w
 _CTE_TOKENS = f"doc_tokens AS (SELECT doc_id, text, {_TOKENS_SQL} AS tokens FROM documents)"
 _CTE_RULES = f"rules(rule_index, rule_id, expression, reported, license_ids, identification, tokens, n, flags, kind, relevance) AS (VALUES {_rule_rows()})"
 _CTE_FOUND = f"""{_CTE_TOKENS}, {_CTE_RULES}, places AS (SELECT doc_id, tokens, unnest(range(len(tokens))) AS p FROM doc_tokens),
-found AS (SELECT doc_id, rule_index, p AS s, p + n AS e, r.expression, r.flags FROM places d JOIN rules r ON d.tokens[p + 1] = r.tokens[1] AND list_slice(d.tokens, p + 1, p + n) = r.tokens)"""
+whole AS (SELECT DISTINCT doc_id FROM doc_tokens d JOIN rules r ON d.tokens = r.tokens),
+found AS (SELECT doc_id, rule_index, p AS s, p + n AS e, r.expression, r.flags FROM places d JOIN rules r ON d.tokens[p + 1] = r.tokens[1] AND list_slice(d.tokens, p + 1, p + n) = r.tokens WHERE doc_id NOT IN (SELECT doc_id FROM whole) OR (p = 0 AND n = len(d.tokens)))"""
 _BIG = "CAST({} AS BIGINT) AS {}"
 
 
+def _hits(spark: SparkSession, sf_dir: str, method: str | None = None) -> DataFrame:
+    return match.hits(_docs(spark, sf_dir), rules.builtin(spark), method)
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.embedded_matches(match.doc_tokens(_docs(spark, sf_dir)), rules.builtin(spark))
+    return match.candidates(_hits(spark, sf_dir))
 
 
 # --- tokens
@@ -101,9 +106,8 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CTE_TOKENS}, dictionary AS (SELECT min(doc_id) AS rule_doc, tokens FROM doc_tokens WHERE len(tokens) > 0 GROUP BY tokens) SELECT doc_id, rule_doc, CAST(len(d.tokens) AS BIGINT) AS n_tokens FROM doc_tokens d JOIN dictionary r ON d.tokens = r.tokens")
 def hash_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against a dictionary of all texts: the first document of the same words."""
-    words = match.doc_tokens(_docs(spark, sf_dir))
-    dictionary = words.where("n_tokens > 0").groupBy("tokens").agg(F.min("doc_id").alias("rule_index")).withColumn("n_tokens", F.size("tokens"))
-    return match.hash_matches(words, dictionary).select("doc_id", F.col("rule_index").alias("rule_doc"), F.col("tok_end").cast("long").alias("n_tokens"))
+    found = match.same_text(match.doc_tokens(_docs(spark, sf_dir)))
+    return found.select("doc_id", F.col("first").alias("rule_doc"), F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
 _EXACT_SQL = f"WITH {_CTE_FOUND} SELECT doc_id, CAST(rule_index AS BIGINT) AS rule_index, CAST(s AS BIGINT) AS tok_start, CAST(e AS BIGINT) AS tok_end FROM found"
@@ -111,21 +115,21 @@ _EXACT_SQL = f"WITH {_CTE_FOUND} SELECT doc_id, CAST(rule_index AS BIGINT) AS ru
 
 @query(_EXACT_SQL)
 def exact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(_candidates(spark, sf_dir))
+    return _long(_candidates(spark, sf_dir).drop("method"))
 
 
 @query(_EXACT_SQL)
 def automaton_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(match.embedded_matches(match.doc_tokens(_docs(spark, sf_dir)), rules.builtin(spark), "automaton"))
+    return _long(match.candidates(_hits(spark, sf_dir, "automaton")).drop("method"))
 
 
 @query(f"WITH {_CTE_FOUND} SELECT doc_id, CAST(count(*) AS BIGINT) AS candidates FROM found GROUP BY doc_id HAVING count(*) > 5")
 def candidate_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents over a candidate limit (5 here, so that some are)."""
-    return match.over_limit(_candidates(spark, sf_dir), 5)
+    return match.over_limit(_hits(spark, sf_dir), 5)
 
 
-@query(f"WITH {_CTE_FOUND}, licences AS (SELECT DISTINCT doc_id, r.reported AS expression FROM found f JOIN rules r USING (rule_index) WHERE r.kind = 'notice') SELECT expression, CAST(count(*) AS BIGINT) AS documents FROM licences GROUP BY expression")
+@query(f"WITH {_CTE_FOUND}, found_licences AS (SELECT DISTINCT doc_id, r.reported AS expression FROM found f JOIN rules r USING (rule_index) WHERE r.kind = 'notice') SELECT expression, CAST(count(*) AS BIGINT) AS documents FROM found_licences GROUP BY expression")
 def license_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by licence notice: the flagship query."""
     notices = F.broadcast(rules.builtin(spark).where("kind = 'notice'").select("rule_index", F.col("reported_expression").alias("expression")))
@@ -139,7 +143,7 @@ _CONTAINED_SQL = f"{_CTE_FOUND}, marked AS (SELECT *, coalesce(e <= max(e) OVER
 
 @query(f"WITH {_CONTAINED_SQL} SELECT doc_id, CAST(rule_index AS BIGINT) AS rule_index, CAST(s AS BIGINT) AS tok_start, CAST(e AS BIGINT) AS tok_end, is_contained FROM marked")
 def contained_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(filters.contained(_candidates(spark, sf_dir)))
+    return _long(filters.contained(_candidates(spark, sf_dir).drop("method")))
 
 
 @query(f"WITH {_CONTAINED_SQL}, active AS (SELECT m.* FROM marked m JOIN rules r USING (rule_index) WHERE NOT is_contained AND r.kind <> 'notice' AND (m.flags & 128) = 0), gone AS (SELECT * FROM marked WHERE is_contained) SELECT doc_id, CAST(rule_index AS BIGINT) AS rule_index, CAST(s AS BIGINT) AS tok_start, CAST(e AS BIGINT) AS tok_end FROM gone g WHERE NOT EXISTS (SELECT 1 FROM active a WHERE a.doc_id = g.doc_id AND a.s < g.e AND g.s < a.e)")
@@ -153,9 +157,11 @@ def restore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The greedy pass as recursion: one step for each pair that the pass looks at. State: the current row, the next one, the last kept
-# row and the removed ones.
-_OVERLAP_SQL = f"""WITH RECURSIVE {_CONTAINED_SQL},
-kept AS (SELECT doc_id, rule_index, s, e, expression, flags, row_number() OVER (PARTITION BY doc_id ORDER BY s, e - s DESC, rule_index) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM marked WHERE NOT is_contained),
+# row and the removed ones. Input: a table of candidates (doc_id, rule_index, s, e, expression, flags).
+
+
+def _walk_sql(source: str) -> str:
+    return f"""kept AS (SELECT doc_id, rule_index, s, e, expression, flags, row_number() OVER (PARTITION BY doc_id ORDER BY s, e - s DESC, rule_index) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM {source}),
 pairs AS (SELECT a.doc_id, a.k AS i, b.k AS j, a.s AS a_s, a.e AS a_e, b.s AS b_s, b.e AS b_e, a.e - a.s AS a_n, b.e - b.s AS b_n, least(a.e, b.e) - greatest(a.s, b.s) AS o, a.expression = b.expression AS same, (a.flags & b.flags & 128) <> 0 AS fp FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND b.k > a.k AND b.s < a.e),
 verdict AS (SELECT *, CASE WHEN fp THEN '' WHEN o >= 0.9 * b_n AND a_n >= b_n THEN 'next' WHEN o >= 0.9 * a_n AND a_n <= b_n THEN 'current' WHEN o >= 0.7 * b_n AND a_n >= b_n THEN 'next' WHEN o >= 0.7 * a_n AND a_n <= b_n THEN 'current'
  WHEN same AND (o >= 0.4 * b_n OR o >= 0.4 * a_n) THEN CASE WHEN a_n >= b_n THEN 'next' ELSE 'current' END ELSE 'ask' END AS v FROM pairs),
@@ -170,60 +176,69 @@ walk(doc_id, n, i, j, prev, gone) AS (
  FROM (SELECT s.*, (list_contains(s.gone, s.i) OR s.j > s.n OR v.v IS NULL) AS done,
    CASE WHEN list_contains(s.gone, s.j) THEN '' WHEN v.v <> 'ask' THEN v.v WHEN p.k IS NULL OR least(p.e, v.b_e) > greatest(p.s, v.b_s) THEN '' WHEN greatest(0, least(p.e, v.a_e) - greatest(p.s, v.a_s)) + v.o >= 0.9 * v.a_n THEN 'current' ELSE '' END AS v
   FROM walk s LEFT JOIN verdict v ON v.doc_id = s.doc_id AND v.i = s.i AND v.j = s.j LEFT JOIN kept p ON p.doc_id = s.doc_id AND p.k = s.prev WHERE s.i < s.n) w),
-final AS (SELECT doc_id, gone FROM walk WHERE i >= n)
-SELECT k.doc_id, CAST(k.rule_index AS BIGINT) AS rule_index, CAST(k.s AS BIGINT) AS tok_start, CAST(k.e AS BIGINT) AS tok_end, list_contains(f.gone, k.k) AS is_overlapping FROM kept k JOIN final f USING (doc_id)"""
+walked AS (SELECT k.doc_id, k.rule_index, k.s, k.e, k.expression, k.flags, list_contains(f.gone, k.k) AS is_overlapping FROM kept k JOIN (SELECT doc_id, gone FROM walk WHERE i >= n) f USING (doc_id))"""
+
+
+_ACTIVE_SQL = f"{_CONTAINED_SQL}, uncontained AS (SELECT * FROM marked WHERE NOT is_contained), {_walk_sql('uncontained')}"
 
 
-@query(_OVERLAP_SQL)
+@query(f"WITH RECURSIVE {_ACTIVE_SQL} SELECT doc_id, CAST(rule_index AS BIGINT) AS rule_index, CAST(s AS BIGINT) AS tok_start, CAST(e AS BIGINT) AS tok_end, is_overlapping FROM walked")
 def overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the greedy pass drops a candidate that the contained filter kept."""
-    kept = filters.contained(_candidates(spark, sf_dir)).where("NOT is_contained").drop("is_contained").withColumn("method", F.lit("exact"))
-    states = filters.filter_overlaps(kept, rules.builtin(spark))
+    states = filters.filter_overlaps(_hits(spark, sf_dir), rules.builtin(spark))
     return _long(states.select("doc_id", "rule_index", "tok_start", "tok_end", (F.col("state") == "overlapping").alias("is_overlapping")))
 
 
-@query()
+# All filters: contained, overlapping, what comes back of each (the contained ones first), contained again, false positives.
+_STATES_SQL = f"""{_ACTIVE_SQL}, first AS (SELECT m.*, coalesce(w.is_overlapping, false) AS is_overlapping FROM marked m LEFT JOIN walked w USING (doc_id, rule_index, s, e)),
+second AS (SELECT f.*, is_contained AND NOT EXISTS (SELECT 1 FROM first a WHERE a.doc_id = f.doc_id AND NOT a.is_contained AND NOT a.is_overlapping AND a.s < f.e AND f.s < a.e) AS back FROM first f),
+third AS (SELECT f.*, back OR (is_overlapping AND NOT EXISTS (SELECT 1 FROM second a WHERE a.doc_id = f.doc_id AND (a.back OR (NOT a.is_contained AND NOT a.is_overlapping)) AND a.s < f.e AND f.s < a.e)) AS again FROM second f),
+fourth AS (SELECT *, NOT is_contained AND NOT is_overlapping OR again AS alive FROM third),
+fifth AS (SELECT *, alive AND coalesce(e <= max(CASE WHEN alive THEN e END) OVER (PARTITION BY doc_id ORDER BY s, e - s DESC, rule_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM fourth),
+states AS (SELECT *, CASE WHEN alive AND NOT late AND (flags & 128) = 0 THEN 'active' WHEN alive THEN 'final' WHEN is_contained THEN 'contained' ELSE 'overlapping' END AS state FROM fifth)"""
+
+
+@query(f"WITH RECURSIVE {_STATES_SQL} SELECT doc_id, CAST(rule_index AS BIGINT) AS rule_index, CAST(s AS BIGINT) AS tok_start, CAST(e AS BIGINT) AS tok_end, state FROM states")
 def filtered_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of each candidate after all filters."""
-    dictionary = rules.builtin(spark)
-    return _long(filters.filter_states(match.candidates(match.doc_tokens(_docs(spark, sf_dir)), dictionary), dictionary))
+    return _long(filters.filter_states(_hits(spark, sf_dir), rules.builtin(spark)).drop("method"))
 
 
-# --- grouping; in SQL on the contained filter alone, which is what these options ask for
+# --- grouping
 
-_ONLY_CONTAINED = filters.Options(overlapping=False)
-_SURVIVORS_SQL = f"""{_CONTAINED_SQL}, kept AS (SELECT m.doc_id, r.rule_index, r.rule_id, r.reported AS expression, r.license_ids, r.identification, r.kind, r.relevance, m.s, m.e, (r.flags & 64) <> 0 AS is_clue FROM marked m JOIN rules r USING (rule_index) WHERE NOT is_contained AND (r.flags & 128) = 0),
-parts AS (SELECT doc_id, unnest(regexp_extract_all(text, '([^\\p{{L}}\\p{{N}}]*)({_WORD_SQL})', 1)) AS gap, unnest(regexp_extract_all(text, '([^\\p{{L}}\\p{{N}}]*)({_WORD_SQL})', 2)) AS word, generate_subscripts(regexp_extract_all(text, '({_WORD_SQL})', 1), 1) - 1 AS pos FROM documents WHERE doc_id IN (SELECT doc_id FROM kept)),
+_SURVIVORS_SQL = f"""{_STATES_SQL}, alive AS (SELECT f.doc_id, r.rule_index, r.rule_id, r.reported AS expression, r.license_ids, r.identification, r.kind, r.relevance, f.s, f.e, (r.flags & 64) <> 0 AS is_clue FROM states f JOIN rules r USING (rule_index) WHERE state = 'active'),
+parts AS (SELECT doc_id, unnest(regexp_extract_all(text, '([^\\p{{L}}\\p{{N}}]*)({_WORD_SQL})', 1)) AS gap, unnest(regexp_extract_all(text, '([^\\p{{L}}\\p{{N}}]*)({_WORD_SQL})', 2)) AS word, generate_subscripts(regexp_extract_all(text, '({_WORD_SQL})', 1), 1) - 1 AS pos FROM documents WHERE doc_id IN (SELECT doc_id FROM alive)),
 ends AS (SELECT doc_id, pos, strlen(word) AS n, sum(strlen(gap) + strlen(word)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e FROM parts),
-matched AS (SELECT k.doc_id, k.rule_id, k.expression, k.license_ids, k.identification, k.kind, k.relevance, k.is_clue, CAST(a.e - a.n AS BIGINT) AS b_start, CAST(z.e AS BIGINT) AS b_end FROM kept k JOIN ends a ON a.doc_id = k.doc_id AND a.pos = k.s JOIN ends z ON z.doc_id = k.doc_id AND z.pos = k.e - 1)"""
+matched AS (SELECT k.doc_id, k.rule_id, k.expression, k.license_ids, k.identification, k.kind, k.relevance, k.is_clue, CAST(a.e - a.n AS BIGINT) AS b_start, CAST(z.e AS BIGINT) AS b_end FROM alive k JOIN ends a ON a.doc_id = k.doc_id AND a.pos = k.s JOIN ends z ON z.doc_id = k.doc_id AND z.pos = k.e - 1)"""
 
 
-def _matches(spark: SparkSession, sf_dir: str, options: filters.Options = _ONLY_CONTAINED) -> DataFrame:
-    return detect.rule_matches(_docs(spark, sf_dir), rules.builtin(spark), options)
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.rule_matches(_docs(spark, sf_dir), rules.builtin(spark))
 
 
-@query(f"WITH {_SURVIVORS_SQL} SELECT doc_id, rule_id, expression, identification, kind, CAST(relevance AS DOUBLE) AS score, b_start AS \"start\", b_end AS \"end\", is_clue, array_to_string(license_ids, ',') AS license_ids FROM matched")
+@query(f"WITH RECURSIVE {_SURVIVORS_SQL} SELECT doc_id, rule_id, expression, identification, kind, CAST(relevance AS DOUBLE) AS score, b_start AS \"start\", b_end AS \"end\", is_clue, array_to_string(license_ids, ',') AS license_ids FROM matched")
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _matches(spark, sf_dir)
     return found.select("doc_id", "rule_id", "expression", "identification", "kind", "score", "start", "end", "is_clue", F.array_join("license_ids", ",").alias("license_ids"))
 
 
-@query(f"WITH {_SURVIVORS_SQL} SELECT m.doc_id, m.rule_id, decode(array_slice(encode(text), b_start + 1, b_end)) AS matched FROM matched m JOIN documents d ON d.doc_id = m.doc_id")
+@query(f"WITH RECURSIVE {_SURVIVORS_SQL} SELECT m.doc_id, m.rule_id, decode(array_slice(encode(text), b_start + 1, b_end)) AS matched FROM matched m JOIN documents d ON d.doc_id = m.doc_id")
 def matched_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes that each match covers."""
-    found = _matches(spark, sf_dir)
-    joined = found.join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    data = F.expr("decode(substring(cast(text AS BINARY), cast(start + 1 AS INT), cast(end - start AS INT)), 'UTF-8')")
-    return joined.select("doc_id", "rule_id", data.alias("matched"))
+    return detect.rule_matches(_docs(spark, sf_dir), rules.builtin(spark), matched_text=True).select("doc_id", "rule_id", "matched")
 
 
-@query(f"WITH {_SURVIVORS_SQL} SELECT doc_id, expression, arg_min(identification, (b_start, b_end, rule_id)) AS identification, CAST(count(*) AS BIGINT) AS n, CAST(min(b_start) AS BIGINT) AS first_start, string_agg(rule_id, '|' ORDER BY b_start, b_end, rule_id) AS rule_ids FROM matched WHERE NOT is_clue GROUP BY doc_id, expression")
+@query(f"WITH RECURSIVE {_SURVIVORS_SQL} SELECT doc_id, expression, arg_min(identification, (b_start, b_end, rule_id)) AS identification, CAST(count(*) AS BIGINT) AS n, CAST(min(b_start) AS BIGINT) AS first_start, string_agg(rule_id, '|' ORDER BY b_start, b_end, rule_id) AS rule_ids FROM matched WHERE NOT is_clue GROUP BY doc_id, expression")
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detections(_matches(spark, sf_dir))
+    return _detections(_matches(spark, sf_dir))
+
+
+def _detections(found: DataFrame) -> DataFrame:
+    found = detect.detections(found)
     return found.select("doc_id", "expression", "identification", F.size("matches").cast("long").alias("n"), F.col("matches")[0]["start"].alias("first_start"), F.array_join(F.transform("matches", lambda m: m["rule_id"]), "|").alias("rule_ids"))
 
 
-@query(f"WITH {_SURVIVORS_SQL} SELECT doc_id, CAST(count(*) AS BIGINT) AS n, string_agg(rule_id || '@' || b_start, '|' ORDER BY b_start, b_end, rule_id) AS clues FROM matched WHERE is_clue GROUP BY doc_id")
+@query(f"WITH RECURSIVE {_SURVIVORS_SQL} SELECT doc_id, CAST(count(*) AS BIGINT) AS n, string_agg(rule_id || '@' || b_start, '|' ORDER BY b_start, b_end, rule_id) AS clues FROM matched WHERE is_clue GROUP BY doc_id")
 def clues(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.clues(_matches(spark, sf_dir))
     return found.select("doc_id", F.size("clues").cast("long").alias("n"), F.array_join(F.transform("clues", lambda m: F.concat(m["rule_id"], F.lit("@"), m["start"].cast("string"))), "|").alias("clues"))
@@ -243,6 +258,9 @@ def rule_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(found)
 
 
+# A path for each document, made of its language and source
+_PATH_SQL = "CASE lang WHEN 'en' THEN source || '/LICENCES/part.txt' WHEN 'fr' THEN 'NOTICE.md' WHEN 'de' THEN 'licence-' || source ELSE 'readme.' || source END"
+
 # An expression for each document, made of its language and source, so that every row takes part
 _EXPRESSION_SQL = "CASE lang WHEN 'en' THEN 'mit AND (free-unknown OR ' || source || ')' WHEN 'fr' THEN 'unknown' WHEN 'de' THEN 'gpl-2.0 WITH classpath-exception-2.0' ELSE 'apache-2.0 OR mit OR apache-2.0' END"
 _IDS_SQL = f"list_filter(regexp_extract_all({_EXPRESSION_SQL}, '[^() ]+'), lambda w: upper(w) NOT IN ('AND', 'OR', 'WITH'))"
@@ -263,20 +281,22 @@ def expression_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.array_join(E.expression_ids(e), ",").alias("ids"), E.rewrite(e, E.lookup(rules.REPORTING)).alias("reported"))
 
 
-_FIRST_SQL = f"{_SURVIVORS_SQL}, first AS (SELECT doc_id, expression, arg_min(identification, (b_start, b_end, rule_id)) AS identification, count(*) AS n FROM matched WHERE NOT is_clue GROUP BY doc_id, expression)"
+_FIRST_SQL = f"{_SURVIVORS_SQL}, per_file AS (SELECT doc_id, expression, arg_min(identification, (b_start, b_end, rule_id)) AS identification, count(*) AS n FROM matched WHERE NOT is_clue GROUP BY doc_id, expression)"
 
 
-@query(f"WITH {_FIRST_SQL} SELECT expression, arg_min(identification, doc_id) AS identification, CAST(count(*) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS matches FROM first GROUP BY expression")
+@query(f"WITH RECURSIVE {_FIRST_SQL}, paths AS (SELECT doc_id, {_PATH_SQL} AS path FROM documents) SELECT expression, arg_min(identification, doc_id) AS identification, bool_or(NOT contains(path, '/')) AS root, CAST(count(*) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS matches FROM per_file JOIN paths USING (doc_id) GROUP BY expression")
 def expression_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.expression_rollup(_matches(spark, sf_dir)).drop("root")
+    """Detected expressions; root if a legal file or readme at the root of the tree has them. Three of the four made paths are such."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.expr(_PATH_SQL).alias("path"))
+    return detect.expression_rollup(_matches(spark, sf_dir), rows.where(policy.is_root_expression_file(F.col("path"))).select("doc_id"))
 
 
-@query(f"WITH {_FIRST_SQL}, flags AS (SELECT doc_id, bool_or(identification = 'identified') AS a, bool_or(identification = 'partial') AS b, bool_or(identification = 'NOASSERTION') AS c FROM first GROUP BY doc_id) SELECT CAST(count(*) AS BIGINT) AS files_with_detections, CAST(count(*) FILTER (WHERE a) AS BIGINT) AS files_identified, CAST(count(*) FILTER (WHERE b) AS BIGINT) AS files_partial, CAST(count(*) FILTER (WHERE c) AS BIGINT) AS files_noassertion FROM flags")
+@query(f"WITH RECURSIVE {_FIRST_SQL}, flags AS (SELECT doc_id, bool_or(identification = 'identified') AS a, bool_or(identification = 'partial') AS b, bool_or(identification = 'NOASSERTION') AS c FROM per_file GROUP BY doc_id) SELECT CAST(count(*) AS BIGINT) AS files_with_detections, CAST(count(*) FILTER (WHERE a) AS BIGINT) AS files_identified, CAST(count(*) FILTER (WHERE b) AS BIGINT) AS files_partial, CAST(count(*) FILTER (WHERE c) AS BIGINT) AS files_noassertion FROM flags")
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.identification_summary(_matches(spark, sf_dir))
 
 
-@query(f"""WITH {_SURVIVORS_SQL}, ranges AS (SELECT doc_id, b_start AS s, b_end AS e FROM matched WHERE kind IN ('text', 'notice')), seen AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranges),
+@query(f"""WITH RECURSIVE {_SURVIVORS_SQL}, ranges AS (SELECT doc_id, b_start AS s, b_end AS e FROM matched WHERE kind IN ('text', 'notice')), seen AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranges),
 islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM seen), merged AS (SELECT doc_id, island, max(e) - min(s) AS n FROM islands GROUP BY doc_id, island), covered AS (SELECT doc_id, sum(n) AS n FROM merged GROUP BY doc_id)
 SELECT d.doc_id, round(CASE WHEN strlen(text) > 0 THEN coalesce(n, 0) / strlen(text) * 100 ELSE 0 END, 6) AS coverage FROM documents d LEFT JOIN covered c USING (doc_id)""")
 def license_text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,7 +306,6 @@ def license_text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- paths; made of source and language, so that every document takes part
 
-_PATH_SQL = "CASE lang WHEN 'en' THEN source || '/LICENSES/component.txt' WHEN 'fr' THEN 'NOTICE.md' WHEN 'de' THEN 'licence-' || source ELSE 'readme.' || source END"
 
 
 @query(f"""WITH p AS (SELECT doc_id, {_PATH_SQL} AS path FROM documents), n AS (SELECT *, lower(list_extract(string_split(path, '/'), -1)) AS name, list_transform(string_split(path, '/')[:-2], lambda x: lower(x)) AS dirs FROM p),
@@ -364,7 +383,7 @@ def spdx_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.normalize(rows, "raw", _resolver()).select("doc_id", "raw", F.col("normalized.expression").alias("expression"))
 
 
-@query(f"WITH {_SURVIVORS_SQL}, tags AS (SELECT doc_id, strlen(text) + 4 AS s, strlen(text) + 30 + strlen({_TAG_SQL}) AS e FROM documents WHERE {_RESOLVED_SQL} IS NOT NULL), wide AS (SELECT doc_id, s - 20 - strlen(doc_id::VARCHAR) AS s, e FROM tags) SELECT doc_id, CAST(s AS BIGINT) AS \"start\", CAST(e AS BIGINT) AS \"end\" FROM wide t WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = t.doc_id AND m.b_start < t.e AND t.s < m.b_end)")
+@query(f"WITH RECURSIVE {_SURVIVORS_SQL}, tags AS (SELECT doc_id, strlen(text) + 4 AS s, strlen(text) + 30 + strlen({_TAG_SQL}) AS e FROM documents WHERE {_RESOLVED_SQL} IS NOT NULL), wide AS (SELECT doc_id, s - 20 - strlen(doc_id::VARCHAR) AS s, e FROM tags) SELECT doc_id, CAST(s AS BIGINT) AS \"start\", CAST(e AS BIGINT) AS \"end\" FROM wide t WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = t.doc_id AND m.b_start < t.e AND t.s < m.b_end)")
 def spdx_overlap_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags, widened to the left so that some reach into the text, that no rule match overlaps."""
     found = spdx.find_tags(_tagged(spark, sf_dir), _resolver())
@@ -433,7 +452,7 @@ def tool_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query(f"""WITH {_SURVIVORS_SQL}, per AS (SELECT doc_id, expression, min((b_start, b_end, rule_id)) AS f, count(*) AS n FROM matched WHERE NOT is_clue GROUP BY doc_id, expression), dets AS (SELECT doc_id, string_agg(expression || ':' || n, ';' ORDER BY f, expression) AS detections FROM per GROUP BY doc_id), cl AS (SELECT doc_id, count(*) AS n FROM matched WHERE is_clue GROUP BY doc_id)
+@query(f"""WITH RECURSIVE {_SURVIVORS_SQL}, per AS (SELECT doc_id, expression, min((b_start, b_end, rule_id)) AS f, count(*) AS n FROM matched WHERE NOT is_clue GROUP BY doc_id, expression), dets AS (SELECT doc_id, string_agg(expression || ':' || n, ';' ORDER BY f, expression) AS detections FROM per GROUP BY doc_id), cl AS (SELECT doc_id, count(*) AS n FROM matched WHERE is_clue GROUP BY doc_id)
 SELECT coalesce(d.doc_id, c.doc_id) AS doc_id, sha256(x.text) AS sha256, CAST(strlen(x.text) AS BIGINT) AS size, coalesce(detections, '') AS detections, CAST(coalesce(n, 0) AS BIGINT) AS clues FROM dets d FULL JOIN cl c ON c.doc_id = d.doc_id JOIN documents x ON x.doc_id = coalesce(d.doc_id, c.doc_id)""")
 def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file records of a report: only of documents with a match, detections in order."""
