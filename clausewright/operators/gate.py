@@ -28,6 +28,13 @@ def is_denied(expression: Column, deny: str = "", allow: str = "") -> Column:
     return out
 
 
+def denies(expression: str, deny: str = "", allow: str = "") -> bool:
+    """is_denied() for one expression in plain Python."""
+    ids = [w for w in expression.lower().replace("(", " ").replace(")", " ").split(" ") if w not in ("", "and", "or", "with")]
+    denied, allowed = names(deny), names(allow)
+    return any(i in denied for i in ids) or bool(allowed) and any(i not in allowed for i in ids)
+
+
 def annotations(expressions: DataFrame, detections: DataFrame, deny: str = "", allow: str = "") -> DataFrame:
     """(path, expression) of the files with a denied expression. detections: path, expression."""
     bad = expressions.where(is_denied(F.col("expression"), deny, allow)).select("expression").distinct()
@@ -37,8 +44,3 @@ def annotations(expressions: DataFrame, detections: DataFrame, deny: str = "", a
 def summary_lines(expressions: DataFrame) -> DataFrame:
     """expression, files and matches, the most files first."""
     return expressions.select("expression", "files", "matches").orderBy(F.desc("files"), "expression")
-
-
-def exit_code(errors: Column, truncated: Column, expressions: Column) -> Column:
-    """2 if the scan is incomplete, 3 if nothing was found, else 0."""
-    return F.when((errors > 0) | truncated, 2).when(expressions == 0, 3).otherwise(0)

@@ -79,7 +79,8 @@ def builtin(spark: SparkSession) -> DataFrame:
 def violations(rules: DataFrame, vocabulary_size: int | None = None) -> DataFrame:
     """(rule_id, problem) of a rule table that is not fit for matching; empty if it is fine."""
     repeated = rules.groupBy("rule_id").count().where("count > 1").select("rule_id", F.lit("duplicate rule id").alias("problem"))
-    checks = [(F.col("rule_id").isNull() | (F.col("rule_id") == ""), "no rule id"), (~has(FALSE_POSITIVE) & (F.coalesce("expression", F.lit("")) == ""), "no expression"), (F.col("n_tokens") == 0, "no tokens"), (~F.col("relevance").between(0, 100), "relevance out of range"), (F.col("rule_index") >= MAX_RULES, "too many rules")]
+    checks = [(F.col("rule_id").isNull() | (F.col("rule_id") == ""), "no rule id"), (~has(FALSE_POSITIVE) & (F.coalesce("expression", F.lit("")) == ""), "no expression"), (F.col("n_tokens") == 0, "no tokens"), (~F.col("relevance").between(0, 100), "relevance out of range"), (F.col("rule_index") >= MAX_RULES, "too many rules"), (F.col("rule_index") != F.col("__order"), "not in the order of rule ids")]
+    rules = rules.withColumn("__order", F.row_number().over(Window.orderBy("rule_id")) - 1)  # a dictionary is small
     out = repeated
     for condition, problem in checks:
         out = out.unionByName(rules.where(condition).select("rule_id", F.lit(problem).alias("problem")))
