@@ -71,9 +71,11 @@ def profile(found: DataFrame) -> DataFrame:
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change) of the cases whose result differs between two runs: regression, improvement, stage, added or removed."""
-    a, b = before.select("path", F.col("stage").alias("was")), after.select("path", F.col("stage").alias("now"))
+    a = before.select("path", F.col("stage").alias("was"), F.lit(True).alias("in_before"))
+    b = after.select("path", F.col("stage").alias("now"), F.lit(True).alias("in_after"))
     joined = a.join(b, "path", "full_outer")
-    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") == F.col("now"), None).when(F.col("was") == "passed", "regression").when(F.col("now") == "passed", "improvement").otherwise("stage")
+    change = F.when(F.col("in_before").isNull(), "added").when(F.col("in_after").isNull(), "removed").when(F.col("was").eqNullSafe(F.col("now")), None)
+    change = change.when(F.col("was") == "passed", "regression").when(F.col("now") == "passed", "improvement").otherwise("stage")
     return joined.withColumn("change", change).where("change IS NOT NULL").select("path", "was", "now", "change")
 
 

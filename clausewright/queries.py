@@ -14,6 +14,7 @@ from clausewright.functions import expressions as E
 from clausewright.functions import policy, tokens
 from clausewright.operators import detect, evaluate, filters, gate, match, rules, spdx
 from clausewright.session import table
+from clausewright.sources import rulefiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -368,6 +369,25 @@ def spdx_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spdx.find_tags(_tagged(spark, sf_dir), _resolver()).drop("license_ids")
 
 
+# The misspelt tag, other ends of an expression, and its limit of 1,024 bytes
+_ENDED_SQL = "CASE lang WHEN 'en' THEN '<!-- SPDX-License-Identifer: MIT OR ISC -->' WHEN 'fr' THEN '\r# xspdx-LICENSE-identifier:\tISC \rMIT' WHEN 'de' THEN '/*SPDX-License-Identifier:GPL-2.0+*/' ELSE '; SPDX-License-Identifier: ' || repeat(' ', 1019) || 'MIT AND ISC' END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang, strlen(text) + 1 AS n FROM documents) SELECT doc_id, CAST(n + CASE lang WHEN 'en' THEN 5 WHEN 'fr' THEN 4 ELSE 2 END AS BIGINT) AS "start", CAST(n + CASE lang WHEN 'en' THEN 39 WHEN 'fr' THEN 32 WHEN 'de' THEN 34 ELSE 2 + 24 + 1023 END AS BIGINT) AS "end",
+CASE lang WHEN 'en' THEN 'MIT OR ISC' WHEN 'fr' THEN 'ISC' WHEN 'de' THEN 'GPL-2.0+' ELSE 'MIT' END AS raw, CASE lang WHEN 'en' THEN 'MIT OR ISC' WHEN 'fr' THEN 'ISC' WHEN 'de' THEN 'GPL-2.0-or-later' ELSE 'MIT' END AS expression FROM t""")
+def spdx_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit("\n"), F.expr(_ENDED_SQL.replace("\r", "\\r").replace("\t", "\\t"))).alias("text"))
+    return spdx.find_tags(rows, _resolver()).select("doc_id", "start", "end", "raw", "expression")
+
+
+@query(f"""WITH RECURSIVE {_SURVIVORS_SQL}, tagged AS (SELECT doc_id, '{spdx.RULE_ID}' AS rule_id, {_RESOLVED_SQL} AS expression, CASE lang WHEN 'fr' THEN 'NOASSERTION' ELSE 'identified' END AS identification, strlen(text) + 4 AS s, strlen(text) + 30 + strlen({_TAG_SQL}) AS e FROM documents WHERE {_RESOLVED_SQL} IS NOT NULL),
+every AS (SELECT doc_id, rule_id, expression, identification, b_start, b_end FROM matched WHERE NOT is_clue UNION ALL SELECT doc_id, rule_id, expression, identification, s, e FROM tagged t WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.doc_id = t.doc_id AND m.b_start < t.e AND t.s < m.b_end))
+SELECT doc_id, expression, arg_min(identification, (b_start, b_end, rule_id)) AS identification, CAST(count(*) AS BIGINT) AS n, CAST(min(b_start) AS BIGINT) AS first_start, string_agg(rule_id, '|' ORDER BY b_start, b_end, rule_id) AS rule_ids FROM every GROUP BY doc_id, expression""")
+def tag_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and tags in one group of their expression."""
+    return _detections(detect.matches(_tagged(spark, sf_dir), rules.builtin(spark), _resolver()))
+
+
 @query(f"SELECT doc_id, {_TAG_SQL} AS raw, coalesce({_RESOLVED_SQL}, '') AS expression, CASE lang WHEN 'en' THEN 'MIT,Apache-2.0' WHEN 'fr' THEN 'LicenseRef-scancode-unknown-spdx' WHEN 'de' THEN 'GPL-2.0-or-later' ELSE '' END AS license_ids FROM documents")
 def spdx_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select("doc_id", F.expr(_TAG_SQL).alias("raw"))
@@ -403,7 +423,7 @@ def policy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CASES_SQL = "SELECT CAST(doc_id AS VARCHAR) AS path, [lang, source, ''] AS expected, CASE lang WHEN 'en' THEN [lang, source] WHEN 'fr' THEN [source, 'x'] WHEN 'de' THEN CAST([] AS VARCHAR[]) ELSE [lang, source, 'y', 'y'] END AS actual, CASE WHEN source IN ('src1', 'src2') THEN [lang] ELSE CAST([] AS VARCHAR[]) END AS exact_expected, source = 'src7' AS skipped FROM documents"
 _CASES_SPARK = "SELECT CAST(doc_id AS STRING) AS path, array(lang, source, '') AS expected, CASE lang WHEN 'en' THEN array(lang, source) WHEN 'fr' THEN array(source, 'x') WHEN 'de' THEN CAST(array() AS ARRAY<STRING>) ELSE array(lang, source, 'y', 'y') END AS actual, CASE WHEN source IN ('src1', 'src2') THEN array(lang) ELSE CAST(array() AS ARRAY<STRING>) END AS exact_expected, source = 'src7' AS skipped FROM {docs}"
-_STAGE_SQL = f"""WITH c AS ({_CASES_SQL}), k AS (SELECT path, skipped, list_sort(list_distinct(list_filter(expected, lambda x: x <> ''))) AS x, list_sort(list_distinct(actual)) AS a, exact_expected AS q FROM c),
+_STAGE_SQL = f"""WITH c AS ({_CASES_SQL}), k AS (SELECT path, skipped, list_sort(list_distinct(list_filter(expected, lambda x: x <> ''))) AS x, list_sort(list_distinct(list_filter(actual, lambda x: x <> ''))) AS a, exact_expected AS q FROM c),
 m AS (SELECT *, list_filter(x, lambda i: NOT list_contains(a, i)) AS missing, list_filter(a, lambda i: NOT list_contains(x, i)) AS extra FROM k), l AS (SELECT *, list_filter(missing, lambda i: list_contains(q, i)) AS lost FROM m),
 s AS (SELECT path, skipped, missing, extra, CASE WHEN skipped THEN NULL WHEN len(missing) = 0 AND len(extra) = 0 THEN 'passed' WHEN len(missing) > 0 AND len(lost) = len(missing) THEN 'filter-suppressed' WHEN len(lost) > 0 THEN 'mixed' WHEN len(a) = 0 THEN 'no-exact-match' WHEN len(missing) > 0 AND len(extra) > 0 THEN 'wrong-exact-rule-set' WHEN len(missing) > 0 THEN 'partial-exact-rule-set' ELSE 'filter-retained' END AS stage FROM l)"""
 
@@ -428,29 +448,102 @@ def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.array_join(F.array_except("expected", "actual"), ",").alias("missing"), F.array_join(F.array_except("actual", "expected"), ",").alias("extra"))
 
 
-@query(f"{_STAGE_SQL}, p AS (SELECT 'all' AS profile, stage FROM s UNION ALL SELECT 'raw', CASE WHEN skipped THEN NULL ELSE 'passed' END FROM s) SELECT profile, stage, CAST(count(*) AS BIGINT) AS cases, CAST(grouping(profile, stage) AS BIGINT) AS level FROM p GROUP BY ROLLUP (profile, stage)")
+# Expected licences of each document: those whose planted sentence it holds, and one that none has for a source.
+_EXPECTED = {"Apache-2.0": "Apache License, Version 2.0", "MIT": "the MIT License", "GPL-3.0-only": "GNU General Public License, version 3", "CC-BY-NC-4.0": "CC BY-NC 4.0"}
+_EXPECTED_SQL = ", ".join(f"CASE WHEN contains(text, '{t}') THEN '{e}' END" for e, t in _EXPECTED.items()) + ", CASE WHEN source = 'src3' THEN 'GPL-1.0-or-later' END"
+_ROLLED_SQL = "SELECT profile, stage, CAST(count(*) AS BIGINT) AS cases, CAST(grouping(profile, stage) AS BIGINT) AS level FROM outcomes GROUP BY ROLLUP (profile, stage)"
+_STAGED = "CASE WHEN len(missing) = 0 AND len(extra) = 0 THEN 'passed' WHEN len(missing) > 0 AND len(lost) = len(missing) THEN 'filter-suppressed' WHEN len(lost) > 0 THEN 'mixed' WHEN len(a) = 0 THEN 'no-exact-match' WHEN len(missing) > 0 AND len(extra) > 0 THEN 'wrong-exact-rule-set' WHEN len(missing) > 0 THEN 'partial-exact-rule-set' ELSE 'filter-retained' END"
+
+
+@query(f"""WITH RECURSIVE {_STATES_SQL},
+kept_by AS (SELECT doc_id, rule_index, 'raw' AS profile FROM found UNION ALL SELECT doc_id, rule_index, 'contained' FROM marked WHERE NOT is_contained UNION ALL SELECT doc_id, rule_index, 'overlapping' FROM states WHERE alive AND NOT late UNION ALL SELECT doc_id, rule_index, 'false positives' FROM states WHERE state = 'active'),
+actual AS (SELECT profile, doc_id, list(DISTINCT r.reported) AS a FROM kept_by JOIN rules r USING (rule_index) WHERE r.reported <> '' GROUP BY ALL),
+cases AS (SELECT p.profile, d.doc_id, list_filter([{_EXPECTED_SQL}], lambda x: x IS NOT NULL) AS x FROM documents d, (VALUES ('raw'), ('contained'), ('overlapping'), ('false positives')) p(profile)),
+joined AS (SELECT c.profile, c.x, coalesce(b.a, []) AS a, coalesce(r.a, []) AS q FROM cases c LEFT JOIN actual b ON b.profile = c.profile AND b.doc_id = c.doc_id LEFT JOIN actual r ON r.profile = 'raw' AND r.doc_id = c.doc_id),
+sets AS (SELECT *, list_filter(x, lambda i: NOT list_contains(a, i)) AS missing, list_filter(a, lambda i: NOT list_contains(x, i)) AS extra FROM joined), losses AS (SELECT *, list_filter(missing, lambda i: list_contains(q, i)) AS lost FROM sets),
+outcomes AS (SELECT profile, {_STAGED} AS stage FROM losses) {_ROLLED_SQL}""")
 def filter_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evaluate.outcomes(_cases(spark, sf_dir)).select("stage", "skipped")
-    both = found.select(F.lit("all").alias("profile"), "stage").unionByName(found.select(F.lit("raw").alias("profile"), F.when(~F.col("skipped"), "passed").alias("stage")))
-    return both.rollup("profile", "stage").agg(F.count("*").alias("cases"), F.grouping_id().alias("level"))
+    """Documents by filter configuration and stage: what each set of filters finds of the licences that are expected."""
+    docs = _docs(spark, sf_dir)
+    wanted = F.array_compact(F.array(*[F.when(F.col("text").contains(t), e) for e, t in _EXPECTED.items()], F.when(F.col("source") == "src3", "GPL-1.0-or-later")))
+    cases = evaluate.profiles(match.hits(docs, rules.builtin(spark)), rules.builtin(spark), docs.select("doc_id", wanted.alias("expected")))
+    return evaluate.profile(evaluate.outcomes(cases))
+
+
+# A second run: other sources found all, nothing or one expression more; one source has gone and the cases of another are named anew
+_CASES2_SQL = f"SELECT CASE WHEN path LIKE '%7' THEN path || '+' ELSE path END AS path, expected, CASE WHEN exact_expected <> [] THEN expected WHEN skipped THEN actual WHEN path LIKE '%3' THEN [] WHEN path LIKE '%4' THEN list_append(actual, 'z') ELSE actual END AS actual, exact_expected, skipped FROM ({_CASES_SQL}) WHERE path NOT LIKE '%9'"
+_CASES2_SPARK = "SELECT CASE WHEN path LIKE '%7' THEN path || '+' ELSE path END AS path, expected, CASE WHEN size(exact_expected) > 0 THEN expected WHEN skipped THEN actual WHEN path LIKE '%3' THEN CAST(array() AS ARRAY<STRING>) WHEN path LIKE '%4' THEN array_append(actual, 'z') ELSE actual END AS actual, exact_expected, skipped FROM {cases} WHERE path NOT LIKE '%9'"
+_STAGE2_SQL = _STAGE_SQL.replace(_CASES_SQL, _CASES2_SQL)
+_BOTH_RUNS_SQL = f"WITH was_run AS ({_STAGE_SQL} SELECT s.*, k.x, k.a, list_sort(list_distinct(list_filter(k.q, lambda z: z <> ''))) AS q FROM s JOIN k USING (path)), now_run AS ({_STAGE2_SQL} SELECT s.*, k.x, k.a, list_sort(list_distinct(list_filter(k.q, lambda z: z <> ''))) AS q FROM s JOIN k USING (path))"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    cases = _cases(spark, sf_dir)
+    return evaluate.outcomes(cases), evaluate.outcomes(spark.sql(_CASES2_SPARK, cases=cases))
 
 
-@query(f"{_STAGE_SQL} SELECT path, stage AS was, 'passed' AS now, 'improvement' AS change FROM s WHERE stage <> 'passed' UNION ALL SELECT path, NULL, 'passed', 'added' FROM s WHERE skipped")
+@query(f"{_BOTH_RUNS_SQL} SELECT coalesce(a.path, b.path) AS path, a.stage AS was, b.stage AS now, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.stage = 'passed' THEN 'regression' WHEN b.stage = 'passed' THEN 'improvement' ELSE 'stage' END AS change FROM was_run a FULL JOIN now_run b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.stage IS DISTINCT FROM b.stage")
 def conformance_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = evaluate.outcomes(_cases(spark, sf_dir)).select("path", "stage")
-    return evaluate.changes(before, before.withColumn("stage", F.lit("passed")))
+    """Every case whose stage differs between the two runs: regressions, improvements, other stages, added and removed cases."""
+    before, after = _runs(spark, sf_dir)
+    return evaluate.changes(before, after)
 
 
-@query("WITH t AS (SELECT source AS path, CASE lang WHEN 'fr' THEN 'de' ELSE lang END AS x FROM documents WHERE n_chars > 3000), a AS (SELECT source AS path, array_to_string(list_sort(list(DISTINCT lang)), ',') AS ours FROM documents GROUP BY source), b AS (SELECT path, array_to_string(list_sort(list(DISTINCT x)), ',') AS theirs FROM t GROUP BY path) SELECT path, coalesce(ours, '') AS ours, coalesce(theirs, '') AS theirs, coalesce(ours, '') = coalesce(theirs, '') AS agree FROM a FULL JOIN b USING (path)")
+@query(f"""{_BOTH_RUNS_SQL}, n AS (SELECT (SELECT count(*) FROM was_run) AS a, (SELECT count(stage) FROM was_run) AS b, (SELECT count(*) FROM now_run) AS c, (SELECT count(stage) FROM now_run) AS d, (SELECT count(*) FROM was_run WHERE stage = 'passed') AS p, (SELECT count(*) FROM now_run WHERE stage = 'passed') AS q),
+every AS (SELECT 'suite size changed from ' || a || '/' || b || ' to ' || c || '/' || d AS problem FROM n WHERE a <> c OR b <> d UNION ALL SELECT 'pass count fell from ' || p || ' to ' || q FROM n WHERE q < p
+ UNION ALL SELECT CASE WHEN a.path IS NULL THEN 'new divergence: ' ELSE 'changed divergence: ' END || b.path FROM (SELECT * FROM now_run WHERE stage <> 'passed') b LEFT JOIN (SELECT * FROM was_run WHERE stage <> 'passed') a USING (path) WHERE a.path IS NULL OR a.stage <> b.stage OR a.x <> b.x OR a.a <> b.a OR a.q <> b.q),
+numbered AS (SELECT problem, row_number() OVER (ORDER BY problem) AS place FROM every) SELECT place, CASE WHEN place <= 20 THEN problem ELSE 'more problems are left out' END AS problem FROM numbered WHERE place <= 21""")
+def conformance_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 problems of the second run, which is the feature."""
+    before, after = _runs(spark, sf_dir)
+    return evaluate.problems(before, after)
+
+
+@query(f"{_STAGE_SQL} SELECT path, list_sort(list_distinct(list_concat(x, a))) AS every, CASE WHEN len(a) = 0 THEN '(none)' WHEN len(a) <= 2 THEN array_to_string(a, ', ') ELSE array_to_string(a[:2], ', ') || ' ... (' || len(a) || ' total)' END AS shown FROM k")
+def set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All expressions of either side, and a short text of the found ones (two are shown here, 20 by default)."""
+    found = evaluate.outcomes(_cases(spark, sf_dir))
+    return found.select("path", F.array_sort(F.array_union("expected", "actual")).alias("every"), evaluate.sample_text(F.col("actual"), 2).alias("shown"))
+
+
+@query("WITH t AS (SELECT source AS path, CASE lang WHEN 'fr' THEN 'de' ELSE lang END AS x FROM documents), a AS (SELECT source AS path, array_to_string(list_sort(list(DISTINCT lang)), ',') AS ours FROM documents GROUP BY source), b AS (SELECT path, array_to_string(list_sort(list(DISTINCT x)), ',') AS theirs FROM t GROUP BY path) SELECT path, coalesce(ours, '') AS ours, coalesce(theirs, '') AS theirs, coalesce(ours, '') = coalesce(theirs, '') AS agree FROM a FULL JOIN b USING (path)")
 def tool_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sorted distinct languages of each source, of all texts and of the long ones, as if two tools had found them."""
+    """Sorted distinct languages of each source, as two tools tell them, one of which takes French for German."""
     docs = _docs(spark, sf_dir)
     ours = docs.select(F.col("source").alias("path"), F.col("lang").alias("expression"))
-    theirs = docs.where("n_chars > 3000").select(F.col("source").alias("path"), F.expr("CASE lang WHEN 'fr' THEN 'de' ELSE lang END").alias("expression"))
+    theirs = docs.select(F.col("source").alias("path"), F.expr("CASE lang WHEN 'fr' THEN 'de' ELSE lang END").alias("expression"))
     found = evaluate.compare_tools(ours, theirs)
     return found.select("path", F.array_join("ours", ",").alias("ours"), F.array_join("theirs", ",").alias("theirs"), "agree")
 
 
+_OTHER_SQL = "CASE lang WHEN 'en' THEN 'Apache-2.0 OR (GPL-2.0-or-later AND ' || source || ')' WHEN 'fr' THEN 'LicenseRef-scancode-mit' WHEN 'de' THEN 'isc AND' ELSE 'BSD-3-Clause AND DocumentRef-x:LicenseRef-y' END"
+
+
+@query(f"SELECT doc_id, CASE lang WHEN 'en' THEN 'apache-2.0 OR (gpl-2.0-plus AND unknown-spdx)' WHEN 'fr' THEN 'mit' WHEN 'de' THEN 'isc AND' ELSE 'bsd-new AND unknown-spdx' END AS of_rules, CASE lang WHEN 'en' THEN 'apache-2.0 OR (gpl-2.0-plus AND ' || source || ')' WHEN 'fr' THEN 'LicenseRef-scancode-mit' WHEN 'de' THEN 'isc AND' ELSE 'bsd-new AND DocumentRef-x:LicenseRef-y' END AS comparable FROM documents")
+def reverse_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reported expressions in the identifiers of the rules, and another tool's expressions made comparable."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.expr(_OTHER_SQL).alias("raw"))
+    rows = evaluate.comparison_expression(rows, "raw", rules.SPDX_KEYS)
+    return rows.select("doc_id", evaluate.rule_expression(F.col("raw"), rules.SPDX_KEYS).alias("of_rules"), "comparable")
+
+
+@query(f"WITH p AS (SELECT doc_id, CASE WHEN lang = 'de' THEN './' ELSE '' END || {_PATH_SQL} AS path FROM documents) SELECT doc_id, path, NOT contains(regexp_replace(path, '^[.]/', ''), '/') AS compared FROM p")
+def comparison_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legal files and readmes at the root of a project (all made paths at the root are such)."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.concat(F.expr("CASE WHEN lang = 'de' THEN './' ELSE '' END"), F.expr(_PATH_SQL)).alias("path"))
+    return rows.select("doc_id", "path", evaluate.is_comparison_file(F.col("path")).alias("compared"))
+
+
+@query("""WITH m AS (SELECT source || '.LICENSE' AS file, source AS key, CASE WHEN source LIKE '%1%' THEN upper(source) WHEN source LIKE '%2' THEN 'SRC1' ELSE '' END AS spdx_key, list_sort(list(DISTINCT lang)) AS others FROM documents GROUP BY source),
+c AS (SELECT file, key, 0 AS rank, 0 AS place, key AS spdx FROM m UNION ALL SELECT file, key, 1, 0, CASE WHEN spdx_key <> '' THEN spdx_key ELSE 'LicenseRef-scancode-' || key END FROM m UNION ALL SELECT file, key, 2, generate_subscripts(others, 1), unnest(others) FROM m)
+SELECT lower(spdx) AS spdx_lower, arg_min(key, (rank, file, place)) AS key, any_value((SELECT CASE WHEN spdx_key <> '' THEN spdx_key ELSE 'LicenseRef-scancode-' || m.key END FROM m WHERE m.key = lower(spdx))) AS reporting_id FROM c GROUP BY 1""")
+def spdx_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps of identifiers with their precedence, of licences made of the sources and languages."""
+    metas = _docs(spark, sf_dir).groupBy("source").agg(F.sort_array(F.collect_set("lang")).alias("others"))
+    metas = metas.select(F.concat("source", F.lit(".LICENSE")).alias("file"), F.col("source").alias("key"), F.expr("CASE WHEN source LIKE '%1%' THEN upper(source) WHEN source LIKE '%2' THEN 'SRC1' ELSE '' END").alias("spdx_key"), "others")
+    keys, reported = rulefiles.mappings(metas)
+    return keys.join(reported, F.col("spdx_lower") == F.col("key_lower"), "left").drop("key_lower")
+
 
 @query(f"""WITH RECURSIVE {_SURVIVORS_SQL}, per AS (SELECT doc_id, expression, min((b_start, b_end, rule_id)) AS f, count(*) AS n FROM matched WHERE NOT is_clue GROUP BY doc_id, expression), dets AS (SELECT doc_id, string_agg(expression || ':' || n, ';' ORDER BY f, expression) AS detections FROM per GROUP BY doc_id), cl AS (SELECT doc_id, count(*) AS n FROM matched WHERE is_clue GROUP BY doc_id)
 SELECT coalesce(d.doc_id, c.doc_id) AS doc_id, sha256(x.text) AS sha256, CAST(strlen(x.text) AS BIGINT) AS size, coalesce(detections, '') AS detections, CAST(coalesce(n, 0) AS BIGINT) AS clues FROM dets d FULL JOIN cl c ON c.doc_id = d.doc_id JOIN documents x ON x.doc_id = coalesce(d.doc_id, c.doc_id)""")
