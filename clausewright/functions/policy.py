@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LEGAL_NAME = r"^(licenses?|licences?|copying|mit-license|copyright|unlicense)([._-].*)?$"
+LEGAL_NAME = r"^(licen[cs]es?|copying|mit-license|copyright|unlicense)([._-].*)?$"
 NOTICE_NAME = r"^notices?([._-].*)?$"
-LEGAL_DIRECTORIES = ("license", "licenses", "licence", "licences")
+LEGAL_DIRECTORIES = tuple(f"licen{c}e{s}" for c in "cs" for s in ("", "s"))
 PROJECT_SKIPS = ("vendor", "node_modules", "__pycache__", ".bundle", ".venv", "venv", "target", "build", "dist", "out", "_build", "deps", "Pods", "third_party", "thirdparty", "external", "testdata", "tmp", "temp", "cache", "coverage")
 LEADERS = ("//", "--", "#", "*", ";", "%")
 

@@ -310,7 +310,7 @@ def license_text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT doc_id, {_PATH_SQL} AS path FROM documents), n AS (SELECT *, lower(list_extract(string_split(path, '/'), -1)) AS name, list_transform(string_split(path, '/')[:-2], lambda x: lower(x)) AS dirs FROM p),
-r AS (SELECT *, len(list_filter(dirs, lambda x: x IN ('license', 'licenses', 'licence', 'licences'))) > 0 OR regexp_matches(name, '{policy.LEGAL_NAME}') AS lic, regexp_matches(name, '{policy.NOTICE_NAME}') AS note FROM n)
+r AS (SELECT *, len(list_filter(dirs, lambda x: x IN ({', '.join(map(_quoted, policy.LEGAL_DIRECTORIES))}))) > 0 OR regexp_matches(name, '{policy.LEGAL_NAME}') AS lic, regexp_matches(name, '{policy.NOTICE_NAME}') AS note FROM n)
 SELECT doc_id, path, CASE WHEN lic AND note THEN 'license,notice' WHEN lic THEN 'license' WHEN note THEN 'notice' ELSE '' END AS roles, len(string_split(path, '/')) = 1 AND (lic OR note OR regexp_matches(name, '^readme([.].*)?$')) AS is_root, regexp_matches(name, '^readme$|[.](md|markdown|mdown|mdx|mkd)$') AS markers FROM r""")
 def legal_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select("doc_id", F.expr(_PATH_SQL).alias("path"))
