@@ -1,15 +1,16 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Each text gets a 128-bit SimHash of its distinct words and word pairs. Rows of equal fingerprint are one node (an exact way for
-any number of copies). Nodes meet in ``TABLES`` hash tables keyed by ``KEY_BITS`` sampled bits; in a bucket the table of Hamming
-distances of its members to ``PIVOTS`` reference fingerprints is computed once, and a pair is discarded as soon as one of its
-coordinates differs by more than ``RADIUS`` (by the triangle inequality it can't be within ``RADIUS``). Survivors are verified
-bit by bit. Connected nodes are one group, and the smallest ``doc_id`` of a group stays.
+any number of copies). The bits are cut into ``CHUNKS`` chunks of three parts. Two fingerprints within ``RADIUS`` = 3 * CHUNKS - 1
+bits differ in at most ``SPARE`` = 2 bits of some chunk, and so agree in one of its three parts: nodes meet in one table for each
+of the 21 parts, keyed by its bits, and no pair within the radius is lost. In a bucket only rows are compared whose other bits of
+the chunk differ in at most ``SPARE`` places, first by the half of the fingerprint that holds less of the chunk. Of what is left,
+a pair is discarded as soon as one of its distances to ``PIVOTS`` reference fingerprints differs by more than ``RADIUS`` (by the
+triangle inequality it can't be within ``RADIUS``), and survivors are verified bit by bit. Connected nodes are one group, and the
+smallest ``doc_id`` of a group stays.
 
-Bucketing only says which pairs get compared: without it the pivot tables alone would compare all pairs, and their coordinates
-concentrate around 64, so that as join keys they prune too little (see README). Its recall is a property of the key, the same
-at every size of the input. No bucket, candidate or partner is capped: a bucket is walked in blocks, sorted by the first
-coordinate, so that only rows whose first coordinates lie within ``RADIUS`` are paired.
+No bucket, candidate or partner is capped: a bucket is walked in blocks of bounded memory. Parts only say which pairs get
+compared: the pivot tables alone would compare all pairs, as their coordinates concentrate around 64 (see README).
 
 Defined results
 * null text counts as empty; texts without any word are never duplicates of anything: each is a group of its own;
@@ -32,22 +33,40 @@ from pyspark.sql import types as T
 from clausewright.llm import textvec
 from clausewright.session import cut, require
 
-#: Near copies of Jaccard 0.85 lie at about 16 bits, unrelated texts beyond 27. TABLES may be 128 at most (low bits of a key).
+#: Near copies of Jaccard 0.85 lie at about 16 bits, unrelated texts beyond 27.
 RADIUS, PIVOTS = 20, 48
-TABLES, KEY_BITS = 72, 18
-TABLE_BITS = 7
+#: Parts of a chunk agree in one at least where no more than SPARE bits of it differ; CHUNKS * (SPARE + 1) must exceed RADIUS.
+CHUNKS, SPARE = 7, 2
 BLOCK = 1 << 20
+#: Pairs compared by one call, and counts of bits gathered before they are looked at: what the caches hold.
+PIECE, COUNTS = 1 << 14, 1 << 19
+#: Rows of a bucket that are compared each with each at once, rows of a pivot table made at a time, rows of groups' neighbours listed at a time.
+FEW, SOME, LISTED = 32, 1 << 10, 1 << 20
+#: Edges that are gathered before they are handed on.
+EDGES = 1 << 16
 #: Dropped ids are broadcast to the texts up to this number (8 MB of longs); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 FINGERPRINT = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "f0", "f1")])
+LINK = T.StructType([T.StructField(n, T.LongType()) for n in ("a", "b")])
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("distance", T.IntegerType())])
 
 
-def _masks() -> np.ndarray:
-    rng = np.random.default_rng(20240607)
-    bits = np.zeros((TABLES, 128), np.uint8)
-    for t in range(TABLES):
-        bits[t, rng.choice(128, KEY_BITS, replace=False)] = 1
+def _cuts(start: int, stop: int, n: int) -> list[tuple[int, int]]:
+    at = [start + (stop - start) * k // n for k in range(n + 1)]
+    return list(zip(at, at[1:], strict=False))
+
+
+#: Bits from, bits to, of each chunk and of each part (in the order of their chunks).
+CHUNK_BITS = _cuts(0, 128, CHUNKS)
+PART_BITS = [p for c in CHUNK_BITS for p in _cuts(*c, SPARE + 1)]
+#: The bits of a bucket's key that hold the value of its part.
+VALUE_BITS = max(b - a for a, b in PART_BITS)
+
+
+def _masks(spans: list[tuple[int, int]]) -> np.ndarray:
+    bits = np.zeros((len(spans), 128), np.uint8)
+    for row, (a, b) in zip(bits, spans, strict=True):
+        row[a:b] = 1
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
@@ -59,16 +78,22 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.packbits(np.array(rows), axis=1, bitorder="little").view(np.uint64)
 
 
-MASKS = _masks()
+MASKS, CHUNK_MASKS = _masks(PART_BITS), _masks(CHUNK_BITS)
+REFERENCE = pivots()
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+    ones = np.bitwise_count(a ^ b)
+    return ones[..., 0].astype(np.int16) + ones[..., 1]
 
 
 def pivot_table(fp: np.ndarray, reference: np.ndarray) -> np.ndarray:
     """(rows, pivots) Hamming distances."""
-    return np.stack([hamming(fp, p) for p in reference], axis=1)
+    out = np.empty((len(fp), len(reference)), np.uint8)
+    for at in range(0, len(fp), SOME):
+        some = fp[at : at + SOME, None]
+        np.add(np.bitwise_count(some[..., 0] ^ reference[:, 0]), np.bitwise_count(some[..., 1] ^ reference[:, 1]), out=out[at : at + SOME])
+    return out
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -84,6 +109,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return require(docs, {"doc_id": T.LongType(), "text": T.StringType()}).mapInArrow(run, FINGERPRINT)
 
 
+def _within(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the pairs within the radius: pivot distances first, eight by eight, then all bits."""
+    table = np.ascontiguousarray(table[:, : table.shape[1] // 8 * 8], np.uint8).view(np.uint64)
+    for k in range(table.shape[1]):
+        eight = np.ascontiguousarray(table[:, k])
+        a, b = eight[i].view(np.uint8), eight[j].view(np.uint8)
+        near = (np.maximum(a, b) - np.minimum(a, b) > radius).view(np.uint64) == 0
+        i, j = i[near], j[near]
+    d = hamming(fp[i], fp[j])
+    within = d <= radius
+    return i[within], j[within], d[within]
+
+
 def bucket_pairs(fp: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, distance) of all pairs of one bucket within the radius. ``table``: its pivot distances."""
     order = np.argsort(table[:, 0], kind="stable")
@@ -96,72 +134,130 @@ def bucket_pairs(fp: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> Ite
         n = count[at:stop]
         left = np.repeat(np.arange(at, min(stop, len(order))), n)
         right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + left + 1
-        i, j = order[left], order[right]
-        for k in range(1, table.shape[1]):
-            near = np.abs(table[i, k] - table[j, k]) <= radius
-            if not near.all():
-                i, j = i[near], j[near]
-            if not len(i):
-                break
+        i, j, d = _within(fp, table, order[left], order[right], radius)
         if len(i):
-            d = hamming(fp[i], fp[j])
-            within = d <= radius
-            yield i[within], j[within], d[within]
+            yield i, j, d
         at = stop
 
 
-def _first_table(fp_a: np.ndarray, fp_b: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Whether no table before that of ``number`` has both rows in one bucket: each pair is then reported once."""
+def _bits(fp: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """The bits from ``start`` to ``stop`` of each fingerprint, as a number."""
+    low, high = fp[:, start // 64] >> np.uint64(start % 64), fp[:, (stop - 1) // 64]
+    if start // 64 != (stop - 1) // 64:
+        low = low | high << np.uint64(64 - start)
+    return (low & np.uint64((1 << (stop - start)) - 1)).astype(np.int64)
+
+
+def _few_bits(width: int) -> np.ndarray:
+    """The numbers of ``width`` bits that have at most ``SPARE`` bits set."""
+    x = np.arange(1 << width)
+    return x[np.bitwise_count(x) <= SPARE]
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (count[0] numbers), begin[1], ..."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _hits(counts: np.ndarray, pieces: list[tuple[int, int, int, int]], size: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in the list) of the counts within the radius. A piece: its first count, its first row, where its list begins, its length."""
+    at, row, begin, width = np.array(pieces).T
+    padded = (size + 7) // 8 * 8
+    counts[size:padded] = 255
+    near = (counts[:padded] <= radius).reshape(-1, 8)
+    eights = np.flatnonzero(near.view(np.uint64))
+    k, one = np.nonzero(near[eights])
+    hit = eights[k] * 8 + one
+    p = np.searchsorted(at, hit, "right") - 1
+    down, across = np.divmod(hit - at[p], width[p])
+    return row[p] + down, begin[p] + across
+
+
+def _candidates(half: np.ndarray, starts: np.ndarray, around: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows sorted by group, i < j among them, whose groups' numbers differ by one of ``around`` and whose halves are within the radius.
+    Group g is rows starts[g] to starts[g + 1]; it meets the list of its neighbours' rows, thousands of pairs by one call."""
+    sizes = np.diff(starts)
+    groups = np.flatnonzero(sizes)
+    step = max(1, LISTED // max(1, len(half) * len(around) // len(groups)))
+    for k in range(0, len(groups), step):
+        g = groups[k : k + step]
+        other = g[:, None] ^ around[None, :]
+        n = np.where(other >= g[:, None], sizes[other], 0)
+        rows, ends = _ranges(starts[other.ravel()], n.ravel()), np.cumsum(n.sum(axis=1)).tolist()
+        values, longest = half[rows], max(PIECE, int(n.sum(axis=1).max()))
+        differ, counts = np.empty(longest, np.uint64), np.empty(max(COUNTS, longest) + 8, np.uint8)
+        pieces, at, begin = [], 0, 0
+        for first, last, end in zip(starts[g].tolist(), starts[g + 1].tolist(), ends, strict=True):
+            width, high = end - begin, max(1, PIECE // (end - begin))
+            for row in range(first, last, high):
+                left = half[row : min(last, row + high), None]
+                size = len(left) * width
+                if at + size > len(counts) - 8:
+                    i, j = _hits(counts, pieces, at, radius)
+                    yield i, rows[j]
+                    pieces, at = [], 0
+                x = np.bitwise_xor(left, values[begin:end], out=differ[:size].reshape(-1, width))
+                np.bitwise_count(x, out=counts[at : at + size].reshape(-1, width))
+                pieces.append((at, row, begin, width))
+                at += size
+            begin = end
+        i, j = _hits(counts, pieces, at, radius)
+        yield i, rows[j]
+
+
+def part_pairs(fp: np.ndarray, part: int, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of pairs of one bucket of ``part``: all within the radius whose chunk differs by at most ``SPARE`` bits, and
+    maybe others within the radius. Rows are grouped by as many of the chunk's other bits as there are rows for."""
+    if len(fp) <= FEW:
+        yield from bucket_pairs(fp, pivot_table(fp, REFERENCE), radius)
+        return
+    chunk = part // (SPARE + 1)
+    other, width = np.zeros(len(fp), np.int64), 0
+    for p in range(chunk * (SPARE + 1), (chunk + 1) * (SPARE + 1)):
+        if p != part:
+            a, b = PART_BITS[p]
+            other |= _bits(fp, a, b) << width
+            width += b - a
+    width = min(width, max(0, len(fp).bit_length() - 5))
+    group = (other & ((1 << width) - 1)).astype(np.uint16)
+    order = np.argsort(group, kind="stable")
+    starts = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=1 << width))))
+    fp = fp[order]
+    table = pivot_table(fp, REFERENCE)
+    half = np.ascontiguousarray(fp[:, 1 if sum(CHUNK_BITS[chunk]) < 128 else 0])
+    for i, j in _candidates(half, starts, _few_bits(width), radius):
+        i, j, d = _within(fp, table, i[i < j], j[i < j], radius)
+        if len(i):
+            yield order[i], order[j], d
+
+
+def _first_part(fp_a: np.ndarray, fp_b: np.ndarray, part: int) -> np.ndarray:
+    """Whether ``part`` is the first that agrees, of the first chunk with at most ``SPARE`` bits that differ: each pair is then
+    reported once."""
     differ = fp_a ^ fp_b
-    earliest = np.full(len(number), TABLES)
-    for t in range(TABLES - 1, -1, -1):
-        earliest[((differ & MASKS[t]) == 0).all(axis=1)] = t
-    return earliest == number
+    chunk = part // (SPARE + 1)
+    first = np.ones(len(differ), bool)
+    for c in range(chunk + 1):
+        first &= (hamming(differ & CHUNK_MASKS[c], np.uint64(0)) <= SPARE) == (c == chunk)
+    for p in range(chunk * (SPARE + 1), part + 1):
+        first &= ((differ & MASKS[p]) == 0).all(axis=1) == (p == part)
+    return first
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, f0, f1) sorted by key; the low ``TABLE_BITS`` bits of a key are its table. Emits verified pairs."""
-    reference = pivots()
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (key, id, f0, f1) sorted by key, which is a part's number and its value. (a, b, distance) of verified pairs."""
     held: list[np.ndarray] = []
 
-    def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def solve(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         key = rows[:, 0]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.append(starts, len(key)))
-        out = []
-        small = sizes == 2  # most buckets by far, all at once
-        pairs = [(starts[small], starts[small] + 1)]
-        for size in range(3, 9):
-            s = starts[sizes == size]
-            pairs += [(s + x, s + y) for x in range(size) for y in range(x + 1, size)]
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        if len(i):
-            near = np.ones(len(i), bool)
-            fp = rows[:, 1 + 1 :].view(np.uint64)
-            used = np.unique(np.concatenate((i, j)))
-            table = np.zeros((len(rows), len(reference)), np.int16) if len(used) * 4 > len(rows) else None
-            at = used if table is not None else np.arange(len(used))
-            base = table if table is not None else np.zeros((len(used), len(reference)), np.int16)
-            base[at] = pivot_table(fp[used], reference)
-            ti, tj = (i, j) if table is not None else (np.searchsorted(used, i), np.searchsorted(used, j))
-            for k in range(len(reference)):
-                live = np.flatnonzero(near)
-                if not len(live):
-                    break
-                near[live] = np.abs(base[ti[live], k] - base[tj[live], k]) <= RADIUS
-            i, j = i[near], j[near]
-            d = hamming(fp[i], fp[j])
-            within = d <= RADIUS
-            out.append((i[within], j[within], d[within]))
-        for s, n in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
-            fp = rows[s : s + n, 2:].view(np.uint64)
-            out += [(i + s, j + s, d) for i, j, d in bucket_pairs(fp, pivot_table(fp, reference))]
-        for i, j, d in out:
-            fresh = _first_table(rows[i, 2:].view(np.uint64), rows[j, 2:].view(np.uint64), key[i] & ((1 << TABLE_BITS) - 1))
-            i, j, d = i[fresh], j[fresh], d[fresh]
-            if len(i):
-                a, b = rows[i, 1], rows[j, 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], EDGE.names)
+        for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            if e - s < 2:
+                continue
+            part, ids, fp = int(key[s]) >> VALUE_BITS, rows[s:e, 1], np.ascontiguousarray(rows[s:e, 2:]).view(np.uint64)
+            for i, j, d in part_pairs(fp, part):
+                fresh = _first_part(fp[i], fp[j], part)
+                yield ids[i[fresh]], ids[j[fresh]], d[fresh]
 
     for batch in batches:
         if not batch.num_rows:
@@ -169,21 +265,88 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
         cut_at = int(np.searchsorted(rows[:, 0], rows[-1, 0], "left"))  # the last bucket may go on in the next batch
         if cut_at:
-            yield from solve(np.ascontiguousarray(np.concatenate([*held, rows[:cut_at]])))
+            yield from solve(np.concatenate([*held, rows[:cut_at]]))
             held = []
         held.append(rows[cut_at:])
     if held:
-        yield from solve(np.ascontiguousarray(np.concatenate(held)))
+        yield from solve(np.concatenate(held))
 
 
-def near_pairs(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b, distance) between rows (id, f0, f1) of distinct fingerprints within ``RADIUS``. One shuffle."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All verified pairs."""
+    held, total = [], 0
+    for found in _found(batches):
+        held.append(found)
+        total += len(found[0])
+        if total >= EDGES:
+            yield _batch(held)
+            held, total = [], 0
+    if total:
+        yield _batch(held)
+
+
+def _batch(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], EDGE.names)
+
+
+def trees(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the same ids as the edges (a, b): the least id of each component with each other one."""
+    ids, x = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = x[: len(a)], x[len(a) :]
+    label = np.arange(len(ids))
+    while len(i):
+        u, v = label[i], label[j]
+        apart = u != v
+        i, j, u, v = i[apart], j[apart], u[apart], v[apart]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(label, up := label[label]):
+            label = up
+    other = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[label[other]], ids[other]
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What connects the same ids as the verified pairs do. Copies of copies make pairs by the square, these are few an id."""
+    held, total = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["a", "b"])
+
+    for a, b, _ in _found(batches):
+        held.append((a, b))
+        total += len(a)
+        if total >= EDGES:
+            held = [trees(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            total = len(held[0][0])
+            if total > EDGES // 2:
+                yield batch()
+                held, total = [], 0
+    if total:
+        held = [trees(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+        yield batch()
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """(key, id, f0, f1) of every row (id, f0, f1) for each of its parts, sorted by key. One shuffle."""
     keys = []
-    for t, (m0, m1) in enumerate(MASKS.view(np.int64).tolist()):
-        h = F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(m0)), F.col("f1").bitwiseAND(F.lit(m1)))
-        keys.append(h.bitwiseAND(F.lit(-1 << TABLE_BITS)) + F.lit(t))
+    for part, (a, b) in enumerate(PART_BITS):
+        value = F.shiftrightunsigned(f"f{a // 64}", a % 64)
+        if a // 64 != (b - 1) // 64:
+            value = value.bitwiseOR(F.shiftleft("f1", 64 - a))
+        keys.append(value.bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(part << VALUE_BITS))
     rows = nodes.select(F.explode(F.array(*keys)).alias("key"), "id", "f0", "f1")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs, EDGE)
+    return rows.repartition("key").sortWithinPartitions("key")
+
+
+def near_pairs(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b, distance) between rows (id, f0, f1) of distinct fingerprints within ``RADIUS``: all of them."""
+    return _met(nodes).mapInArrow(_pairs, EDGE)
+
+
+def near_links(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same rows as those of ``near_pairs``: of the pairs that a task finds only what its components need."""
+    return _met(nodes).mapInArrow(_links, LINK)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,8 +372,8 @@ def groups(docs: DataFrame) -> DataFrame:
     nodes = cut(known.groupBy("f0", "f1").agg(F.min("doc_id").alias("id")), "nodes")
     # an id with several texts ties its nodes together
     ids = known.join(nodes, ["f0", "f1"]).select("doc_id", "id")
-    ties = ids.groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("bs")).where(F.size("bs") > 1).select("a", F.explode("bs").alias("b"), F.lit(0).alias("distance")).where("a < b")
-    edges = cut(near_pairs(nodes).unionByName(ties), "edges")
+    ties = ids.groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("bs")).where(F.size("bs") > 1).select("a", F.explode("bs").alias("b")).where("a < b")
+    edges = cut(near_links(nodes).unionByName(ties), "edges")
     if edges.isEmpty():
         grouped = ids.select("doc_id", F.col("id").alias("group_id"))
     else:

@@ -113,3 +113,67 @@ def test_recall_against_text_similarity(spark):
     assert len(alike) > 100
     assert sum(group[i] == group[j] for i, j in alike) >= 0.9 * len(alike)
     assert all(i // 2 == group[i] // 2 for i in group)
+
+
+def _planted(count: int, distance: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``count`` random fingerprints, and for each another one at the distance."""
+    rng = np.random.default_rng(seed)
+    fp = rng.integers(0, 2, (count, 128), np.uint8)
+    other = fp.copy()
+    for row in other:
+        row[rng.choice(128, distance, replace=False)] ^= 1
+    return tuple(np.packbits(x, axis=1, bitorder="little").view(np.uint64) for x in (fp, other))
+
+
+def test_no_pair_within_the_radius_is_lost(spark):
+    """Some of the rows at the very radius: a table of sampled bits would miss a tenth of them. The buckets are large enough to be grouped."""
+    sides = [_planted(1500, d, d) for d in (n.RADIUS, n.RADIUS - 1, n.RADIUS + 1)]
+    fp = np.concatenate([x for pair in sides for x in pair])
+    nodes = spark.createDataFrame([(i, *f) for i, f in enumerate(fp.view(np.int64).tolist())], "id long, f0 long, f1 long")
+    found = [(r["a"], r["b"], r["distance"]) for r in n.near_pairs(nodes).collect()]
+    assert sorted(found) == [(i, i + 1500, n.RADIUS) for i in range(1500)] + [(i, i + 1500, n.RADIUS - 1) for i in range(3000, 4500)]
+
+
+def test_part_pairs_in_every_part():
+    """Rows of one bucket whose chunk differs in at most two bits: all of them, in groups by 0 to 13 bits."""
+    rng = np.random.default_rng(5)
+    for part, (a, b) in enumerate(n.PART_BITS):
+        rows = (20, 60, 700)[part % 3]
+        centre = rng.integers(0, 2, (rows // 4, 128), np.uint8)
+        centre[:, a:b] = 1
+        flips = (rng.random((4, *centre.shape)) < 0.06).astype(np.uint8)
+        flips[:, :, a:b] = 0
+        fp = np.unique(np.packbits((centre ^ flips).reshape(-1, 128), axis=1, bitorder="little").view(np.uint64), axis=0)
+        truth = _all_pairs(fp, list(range(len(fp))))
+        chunk = n.CHUNK_MASKS[part // 3]
+        due = {(i, j) for i, j in truth if np.bitwise_count((fp[i] ^ fp[j]) & chunk).sum() <= n.SPARE}
+        found = [(min(i, j), max(i, j)) for x, y, _ in n.part_pairs(fp, part) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(found) == len(set(found))
+        assert due <= set(found) <= truth
+        assert len(due) > 5
+
+
+def test_trees_connect_what_the_edges_do():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 400, (2, 300)) * 7
+    root = {int(x): int(x) for x in np.concatenate((a, b))}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        root[max(top(x), top(y))] = min(top(x), top(y))
+    assert sorted(zip(*(x.tolist() for x in n.trees(a, b)), strict=True)) == sorted((top(x), x) for x in root if top(x) != x)
+
+
+def test_dense_copies_give_few_links(spark):
+    """A text's 300 different copies are 44,850 pairs; what is written of them is some edges an id."""
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 2, 128, np.uint8)
+    fp = np.unique(np.packbits([centre ^ (rng.random(128) < 0.05) for _ in range(300)], axis=1, bitorder="little").view(np.uint64), axis=0)
+    nodes = spark.createDataFrame([(i, *f) for i, f in enumerate(fp.view(np.int64).tolist())], "id long, f0 long, f1 long")
+    links = n.near_links(nodes)
+    assert links.count() < len(n.PART_BITS) * len(fp)
+    assert {r["label"] for r in n.components(links).collect()} == {0}
