@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import expressions, policy
-from clausewright.operators import match
-from clausewright.operators.filters import Options, filter_hits
+from clausewright.operators.filters import Options, kept_by
 
 TOP = 20
 
@@ -51,17 +50,17 @@ PROFILES = {"raw": Options(False, False, False), "contained": Options(True, Fals
 
 def profiles(found: DataFrame, rules: DataFrame, expected: DataFrame) -> DataFrame:
     """profile, path, expected, actual, exact_expected and skipped of each document under each filter configuration. ``found``:
-    match.hits; ``expected``: doc_id, expected. An expression is exact_expected if it is expected and a candidate has it."""
-    facts = F.broadcast(rules.select("rule_index", F.col("reported_expression").alias("expression")))
-    parts = None
-    for name, options in PROFILES.items():
-        part = match.candidates(filter_hits(found, rules, options)).join(facts, "rule_index").select("doc_id", "expression", F.lit(name).alias("profile"))
-        parts = part if parts is None else parts.unionByName(part)
-    names = F.explode(F.array(*map(F.lit, PROFILES))).alias("profile")
-    actual = parts.where("expression <> ''").groupBy("profile", "doc_id").agg(F.collect_set("expression").alias("actual"))
-    exact = actual.where("profile = 'raw'").select("doc_id", F.col("actual").alias("raw"))
-    rows = expected.select("doc_id", "expected", names).join(actual, ["profile", "doc_id"], "left").join(exact, "doc_id", "left")
-    return rows.select("profile", F.col("doc_id").cast("string").alias("path"), "expected", "actual", F.array_intersect("expected", F.coalesce("raw", F.array().cast("array<string>"))).alias("exact_expected"), F.lit(False).alias("skipped"))
+    match.hits, which is read once for all of them; ``expected``: doc_id, expected. An expression is exact_expected if it is expected
+    and a candidate has it."""
+    facts = F.broadcast(rules.select("rule_index", F.col("reported_expression").alias("expression")).where("expression <> ''"))
+    kept = kept_by(found, rules, list(PROFILES.values())).join(facts, "rule_index")
+    sets = [F.collect_set(F.when(F.col("kept").bitwiseAND(F.lit(1 << k)) != 0, F.col("expression"))).alias(f"actual_{k}") for k in range(len(PROFILES))]
+    cases = expected.select("doc_id", "expected").join(kept.groupBy("doc_id").agg(*sets), "doc_id", "left")
+    actual = [F.coalesce(f"actual_{k}", F.array().cast("array<string>")) for k in range(len(PROFILES))]
+    exact = F.array_intersect("expected", actual[list(PROFILES).index("raw")])
+    named = F.inline(F.array(*[F.struct(F.lit(name).alias("profile"), a.alias("actual")) for name, a in zip(PROFILES, actual, strict=True)]))
+    rows = cases.select(F.col("doc_id").cast("string").alias("path"), "expected", exact.alias("exact_expected"), named)
+    return rows.select("profile", "path", "expected", "actual", "exact_expected", F.lit(False).alias("skipped"))
 
 
 def profile(found: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from clausewright.functions import expressions as E
 from clausewright.functions import policy, tokens
-from clausewright.operators import detect, filters, match, rules, spdx
+from clausewright.operators import detect, evaluate, filters, match, rules, spdx
 
 FP = rules.FALSE_POSITIVE
 
@@ -194,3 +195,26 @@ def test_coverage(spark):
     found = spark.createDataFrame([(1, "text", 0, 50), (1, "notice", 40, 60), (1, "reference", 60, 90), (1, "text", 85, 200), (2, "text", 0, 5)], "doc_id long, kind string, start long, end long")
     sizes = spark.createDataFrame([(1, 100), (2, 0), (3, 10)], "doc_id long, bytes long")
     assert {r["doc_id"]: r["coverage"] for r in detect.coverage(found, sizes).collect()} == {1: 75.0, 2: 0.0, 3: 0.0}
+
+
+def test_profiles_in_one_pass(spark, tmp_path):
+    rng = random.Random(4)
+    parts = ["red", "blue", "green+", "x"]
+    rows = [(i % 50 if i % 9 else None, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs, dictionary = spark.read.parquet(f"{tmp_path}/d"), _dictionary(spark)
+    found = evaluate.profiles(match.hits(docs, dictionary), dictionary, docs.select("doc_id", F.array(F.lit("One"), F.lit("none")).alias("expected")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("FileScan") == 2, plan
+    names = {r["rule_index"]: r["reported_expression"] for r in dictionary.collect()}
+    sets = {}
+    for profile, options in evaluate.PROFILES.items():
+        for r in match.candidates(filters.filter_hits(match.hits(docs, dictionary), dictionary, options)).collect():
+            sets.setdefault((profile, r["doc_id"]), set()).update({names[r["rule_index"]]} - {""})
+    expected = []
+    for doc, _ in rows:
+        of = {p: sets.get((p, doc), set()) if doc is not None else set() for p in evaluate.PROFILES}
+        expected += [(p, None if doc is None else str(doc), ["One", "none"], sorted(of[p]), sorted({"One", "none"} & of["raw"]), False) for p in of]
+    got = found.select("profile", "path", "expected", F.sort_array("actual"), F.sort_array("exact_expected"), "skipped").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    assert len({(e[0], repr(e[3])) for e in expected}) > 2 * len(evaluate.PROFILES)
