@@ -218,3 +218,44 @@ def test_profiles_in_one_pass(spark, tmp_path):
     got = found.select("profile", "path", "expected", F.sort_array("actual"), F.sort_array("exact_expected"), "skipped").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
     assert len({(e[0], repr(e[3])) for e in expected}) > 2 * len(evaluate.PROFILES)
+
+
+def test_tags_of_cut_texts(spark):
+    rng = random.Random(6)
+    pieces = ["SPDX-License-Identifier:", "spdx-LICENSE-identifer:", " MIT", "\tISC OR MIT ", "é", "\n", "\r", "*/", "-->", "ſpdx-license-identifier:", "spdx-license-", " " * 1000, "x" * 1017, "é" * 700, "MIT OR " * 150, "🎉"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(600)]
+    texts += [pieces[i] + " " * n + "MIT" + pieces[0] + "ISC" for i in (0, 1) for n in range(1018, 1030)] + ["", None, pieces[0], pieces[0] * 50 + "MIT", f"{pieces[0]}MIT\n" * 300]
+    resolver = E.Resolver({"mit": "mit", "isc": "isc"}, {"mit": "MIT", "isc": "ISC"})
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = docs.where("text IS NOT NULL").select("doc_id", spdx._parts(F.col("text")).alias("parts")).collect()
+    found = {r["doc_id"]: list(spdx.tags_of_parts(r["parts"])) for r in rows}
+    assert found == {i: list(spdx.tags(t.encode())) for i, t in enumerate(texts) if t is not None}
+    assert all(sum(len(p["head"] or b"") for p in r["parts"]) <= sum(p["bytes"] for p in r["parts"]) == len(texts[r["doc_id"]].encode()) for r in rows)
+    expected = sorted((i, s, e, raw.decode("utf-8", "replace")) for i, t in found.items() for s, e, raw in t if resolver.normalize(raw.decode("utf-8", "replace"))[0])
+    assert sorted(tuple(r)[:4] for r in spdx.find_tags(docs, resolver).collect()) == expected and len(expected) > 300
+
+
+def test_matches_with_tags_read_once_and_no_text_in_python(spark, tmp_path):
+    rng = random.Random(8)
+    parts = ["red", "blue", "green+", "x", "/* SPDX-License-Identifier: red blue */", "SPDX-License-Identifier: MIT\n", "SPDX-License-Identifier: red\n"]
+    rows = [(i % 70 if i % 9 else None, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs, dictionary = spark.read.parquet(f"{tmp_path}/d"), _dictionary(spark)
+    resolver = E.Resolver({"mit": "mit", "red": "red"}, {"mit": "MIT", "red": "Red"})
+    both = detect.matches(docs, dictionary, resolver)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    python = [x for x in plan.splitlines() if "MapInArrow" in x]
+    assert len(python) == 2 and not any("text#" in x for x in python) and plan.count("FileScan") == 2, plan
+    found = detect.rule_matches(docs, dictionary)
+    tags = spdx.find_tags(docs, resolver)
+    left = spdx.drop_covered(tags, found)
+    plain = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert plain(both) == sorted(plain(found) + plain(spdx.as_matches(left)))
+    assert 0 < left.count() < tags.count()
+
+
+def test_many_hits_at_once(spark, monkeypatch):
+    monkeypatch.setattr(filters, "HITS_AT_ONCE", 5)
+    docs = spark.createDataFrame([(i, "red x " * (i % 8)) for i in range(40)], "doc_id long, text string").coalesce(1)
+    found = detect.rule_matches(docs, _dictionary(spark))
+    assert {r["doc_id"]: r["count"] for r in found.groupBy("doc_id").count().collect()} == {i: i % 8 for i in range(40) if i % 8}
